@@ -87,3 +87,29 @@ def with_language(df: DataFrame, prefix: str = "") -> DataFrame:
 def predicted_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """New cases with a predicted macro class and its confidence."""
     return with_language(cases(spark, sf_dir))
+
+
+def responses(contexts: DataFrame) -> DataFrame:
+    """Answers of an outside service, made from the cases: usable ones, broken ones, failures."""
+    kind = F.length("texto") % 8
+    first, last = F.get("valid_classes", F.lit(0)), F.element_at("valid_classes", -1)
+
+    def body(*parts) -> Column:
+        return F.concat(*[part if isinstance(part, Column) else F.lit(part) for part in parts])
+
+    answer = (
+        F.when(kind == 0, body('{"detailed_class": "', first, '", "ambiguous_case": "false"}'))
+        .when(
+            kind == 1,
+            body(
+                '{"detailed_class": " ', last, ' ", "justification": "', F.col("macro"),
+                '", "priority": "alta", "ambiguous_case": false}',
+            ),
+        )
+        .when(kind == 2, body("resposta: ", first))
+        .when(kind == 3, body('{"detailed_class": "', F.col("macro"), '", "priority": "media"}'))
+        .when(kind == 6, F.lit(""))
+        .when(kind == 7, body('{"detailed_class": "', first, '", "justification": null, "ambiguous_case": 2}'))
+    )
+    error = F.when(kind == 4, F.lit("timeout")).when(kind == 5, F.lit("authentication"))
+    return contexts.select("id", answer.alias("body"), error.alias("error"))

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 import re
 
-from casewise.config import ASCII_PUNCTUATION, MISSING_LABEL, REQUIRED_COLUMNS, STOPWORDS
-from checks.data import LANGUAGE_WORDS
+from casewise.config import ASCII_PUNCTUATION, MISSING_LABEL, NA_TOKENS, REQUIRED_COLUMNS, STOPWORDS
+from casewise.functions.labels import HISTORY_HIGH_TERMS, REFINER_HIGH_TERMS
+from casewise.functions.labels import MEDIUM_TERMS as DEFAULT_MEDIUM_TERMS
+from casewise.operators import evaluate, refine, routing
+from checks.data import DETAIL_KEYWORDS, HIGH_TERMS, LANGUAGE_WORDS, MEDIUM_TERMS
 
 SPACE = r"\s\x0B\x1C-\x1F\x{85}\p{Z}"
 WORD = r"\p{L}\p{N}_"
@@ -91,6 +94,53 @@ _TOP_HITS = f"greatest({', '.join('h_' + lang for lang in sorted(LANGUAGE_WORDS)
 VECTOR_TOKENS = f"regexp_extract_all(strip_accents(lower(processed)), '[{WORD}]{{2,}}')"
 NGRAMS = "list_concat(vt, list_transform(range(1, len(vt)), lambda i: vt[i] || ' ' || vt[i + 1]))"
 
+def _contains(x: str, terms) -> str:
+    return "(" + " OR ".join(f"contains({x}, {_quote(term)})" for term in terms) + ")"
+
+
+def _priority(x: str, high, medium) -> str:
+    return f"CASE WHEN {_contains(x, high)} THEN 'alta' WHEN {_contains(x, medium)} THEN 'media' ELSE 'baixa' END"
+
+
+_MENTIONED = " OR ".join(
+    f"(lower(v) = {_quote(name)} AND {_contains('lower(refiner_text)', words)})"
+    for name, words in DETAIL_KEYWORDS.items()
+)
+_FIRST_CLASS = f"list_filter(valid_classes, lambda v: {_MENTIONED})[1]"
+_REFINED_PRIORITY = _priority("lower(refiner_text)", REFINER_HIGH_TERMS, DEFAULT_MEDIUM_TERMS)
+_AMBIGUOUS = (
+    "(len(list_filter(valid_classes, lambda v: contains(lower(refiner_text), lower(v)))) > 1 "
+    "OR contains(lower(refiner_text), 'ou'))"
+)
+_RESPONSE_BODY = """CASE length(texto) % 8
+    WHEN 0 THEN '{"detailed_class": "' || valid_classes[1] || '", "ambiguous_case": "false"}'
+    WHEN 1 THEN '{"detailed_class": " ' || valid_classes[-1] || ' ", "justification": "' || macro
+                || '", "priority": "alta", "ambiguous_case": false}'
+    WHEN 2 THEN 'resposta: ' || valid_classes[1]
+    WHEN 3 THEN '{"detailed_class": "' || macro || '", "priority": "media"}'
+    WHEN 6 THEN ''
+    WHEN 7 THEN '{"detailed_class": "' || valid_classes[1] || '", "justification": null, "ambiguous_case": 2}'
+    END"""
+_RESPONSE_ERROR = "CASE length(texto) % 8 WHEN 4 THEN 'timeout' WHEN 5 THEN 'authentication' END"
+
+
+def _FIELD(name: str) -> str:
+    # json_valid guards each access: reading a field of a text that is no JSON is an error.
+    document = "CASE WHEN json_valid(r.body) THEN r.body ELSE '{}' END"
+    return (
+        f"trim(CASE WHEN json_type({document}, '$.{name}') = 'NULL' THEN 'None' "
+        f"ELSE coalesce(json_extract_string({document}, '$.{name}'), '') END)"
+    )
+
+
+_TRUTH = (
+    "CASE WHEN json_valid(r.body) THEN "
+    "CASE json_type(r.body, '$.ambiguous_case') WHEN 'BOOLEAN' THEN json_extract_string(r.body, '$.ambiguous_case') = 'true' "
+    "WHEN 'VARCHAR' THEN json_extract_string(r.body, '$.ambiguous_case') <> '' "
+    "WHEN 'UBIGINT' THEN json_extract_string(r.body, '$.ambiguous_case') <> '0' ELSE false END ELSE false END"
+)
+
+
 CTES = {
     "records": """
         SELECT d.doc_id, CAST(d.doc_id AS VARCHAR) AS id_registro, d.text AS texto, d.source AS canal_origem,
@@ -121,6 +171,77 @@ CTES = {
     "measured": f"""
         SELECT *, length(texto) AS chars, {words('texto')} AS words
         FROM (SELECT * REPLACE ({strip(blank('texto'))} AS texto) FROM records)""",
+    "quotas": """
+        SELECT classe_macro, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, classe_macro)
+                                              <= t - sum(base) OVER () THEN 1 ELSE 0 END AS quota
+        FROM (SELECT classe_macro, c * t // n AS base, c * t % n AS rest, t
+              FROM (SELECT classe_macro, count(*) AS c FROM modeling GROUP BY 1),
+                   (SELECT count(*) AS n, CAST(ceil(count(*) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS t FROM modeling))""",
+    "split": """
+        SELECT m.*, CASE WHEN row_number() OVER (PARTITION BY m.classe_macro ORDER BY md5('42:' || id_registro)) <= q.quota
+                         THEN 'test' ELSE 'train' END AS split
+        FROM modeling m JOIN quotas q ON m.classe_macro = q.classe_macro""",
+    "train": "SELECT * FROM split WHERE split = 'train'",
+    "options": """
+        SELECT classe_macro AS macro_class, count(*) AS record_count, count(DISTINCT classe_detalhada) AS detail_count,
+               list_sort(list(DISTINCT classe_detalhada)) AS detail_options
+        FROM train GROUP BY 1""",
+    "top_detail": """
+        SELECT classe_macro, classe_detalhada AS detail
+        FROM (SELECT classe_macro, classe_detalhada, count(*) AS c FROM train GROUP BY ALL)
+        QUALIFY row_number() OVER (PARTITION BY classe_macro ORDER BY c DESC, classe_detalhada) = 1""",
+    "tested": f"""
+        SELECT id_registro, doc_id, coalesce(texto, '') AS texto, classe_macro, classe_detalhada,
+               {_BEST_LANGUAGE} AS macro
+        FROM (SELECT *, {_HITS} FROM split WHERE split = 'test')""",
+    "predictions": """
+        SELECT 'macro' AS level, id_registro, doc_id, texto, classe_macro AS expected, macro AS predicted FROM tested
+        UNION ALL
+        SELECT 'detailed', id_registro, doc_id, texto, classe_detalhada, d.detail
+        FROM tested t JOIN top_detail d ON t.macro = d.classe_macro
+        UNION ALL
+        SELECT 'detailed_oracle', id_registro, doc_id, texto, classe_detalhada, d.detail
+        FROM tested t JOIN top_detail d ON t.classe_macro = d.classe_macro""",
+    "counts": "SELECT level, expected, predicted, count(*) AS records FROM predictions GROUP BY ALL",
+    "scores": """
+        SELECT *, CASE WHEN guessed > 0 THEN hits / guessed ELSE 0 END AS precision,
+               CASE WHEN support > 0 THEN hits / support ELSE 0 END AS recall,
+               CASE WHEN support + guessed > 0 THEN 2 * hits / (support + guessed) ELSE 0 END AS f1_score
+        FROM (SELECT level, label, CAST(sum(s) AS DOUBLE) AS support, CAST(sum(g) AS DOUBLE) AS guessed,
+                     CAST(sum(h) AS DOUBLE) AS hits
+              FROM (SELECT level, expected AS label, records AS s, 0 AS g,
+                           CASE WHEN expected = predicted THEN records ELSE 0 END AS h FROM counts
+                    UNION ALL SELECT level, predicted, 0, records, 0 FROM counts) GROUP BY ALL)""",
+    "metrics": f"""
+        SELECT level, {rounded('sum(hits) / sum(support)', 4)} AS accuracy,
+               {rounded('sum(precision * support) / sum(support)', 4)} AS precision,
+               {rounded('sum(recall * support) / sum(support)', 4)} AS recall,
+               {rounded('sum(f1_score * support) / sum(support)', 4)} AS f1_score
+        FROM scores GROUP BY level""",
+    "contexts": """
+        SELECT p.*, o.detail_options AS valid_classes, d.detail AS baseline_detail,
+               'Canal de origem: ' || canal_origem || chr(10) || 'Texto do caso: ' || texto AS refiner_text
+        FROM predicted p LEFT JOIN options o ON o.macro_class = p.macro LEFT JOIN top_detail d ON d.classe_macro = p.macro""",
+    "lexical": f"""
+        SELECT *, coalesce({_FIRST_CLASS}, valid_classes[1]) AS lexical_class, {_REFINED_PRIORITY} AS lexical_priority,
+               {_AMBIGUOUS} AS lexical_ambiguous
+        FROM contexts""",
+    "responses": f"""
+        SELECT id, {_RESPONSE_BODY} AS body, {_RESPONSE_ERROR} AS error FROM contexts""",
+    "parsed": f"""
+        SELECT c.*, r.body, r.error, {_FIELD('detailed_class')} AS p_class, {_FIELD('justification')} AS p_justification,
+               {_FIELD('priority')} AS p_priority, {_TRUTH} AS p_ambiguous,
+               CASE WHEN r.body IS NULL OR NOT json_valid(r.body) OR json_type(r.body) <> 'OBJECT' THEN {_quote(refine.INVALID_JSON)}
+                    WHEN NOT list_contains(c.valid_classes, {_FIELD('detailed_class')}) THEN {_quote(refine.CLASS_NOT_ALLOWED)}
+               END AS p_error
+        FROM lexical c JOIN responses r ON r.id = c.id""",
+    "refined": f"""
+        SELECT *, CASE WHEN error = 'timeout' THEN 'mock' WHEN error = 'authentication' THEN 'indisponível'
+                       WHEN p_error IS NULL AND body <> '' THEN 'remote' ELSE 'indisponível' END AS provider,
+               CASE WHEN error = 'timeout' THEN {_quote(refine.CALL_FAILURES['timeout'])}
+                    WHEN error = 'authentication' THEN {_quote(refine.BAD_CREDENTIALS)}
+                    WHEN coalesce(body, '') = '' THEN {_quote(refine.EMPTY_ANSWER)} ELSE p_error END AS fallback_reason
+        FROM parsed""",
     "terms": f"""
         SELECT *, {NGRAMS} AS terms FROM (SELECT *, {VECTOR_TOKENS} AS vt FROM modeling)""",
 }
@@ -132,6 +253,21 @@ _NEEDS = {
     "cases_prepared": ["cases"],
     "predicted": ["cases_prepared"],
     "measured": ["records"],
+    "quotas": ["modeling"],
+    "split": ["quotas"],
+    "train": ["split"],
+    "options": ["train"],
+    "top_detail": ["train"],
+    "tested": ["split"],
+    "predictions": ["tested", "top_detail"],
+    "counts": ["predictions"],
+    "scores": ["counts"],
+    "metrics": ["scores"],
+    "contexts": ["predicted", "options", "top_detail"],
+    "lexical": ["contexts"],
+    "responses": ["contexts"],
+    "parsed": ["lexical", "responses"],
+    "refined": ["parsed"],
     "terms": ["modeling"],
 }
 
@@ -407,4 +543,214 @@ def oracle_sql() -> dict[str, str]:
     )
     out["similar_topk"] = _sql(_FOUND, **retrieval(5, restrict=False))
     out["similar_cases"] = _sql(_FOUND, **retrieval(3, restrict=True))
+    described = _FOUND.replace("FROM found f", f", {_priority('lower(r.texto)', HISTORY_HIGH_TERMS, DEFAULT_MEDIUM_TERMS)} AS priority FROM found f")
+    out["few_shot_examples"] = _sql(
+        f"""SELECT id, scope, count(*) AS used_count,
+                   string_agg(rank || '|' || macro_class || '|' || detailed_class || '|' || priority
+                              || '|Caso historico com similaridade TF-IDF de ' || similarity_percent
+                              || ' em relacao ao texto atual.|' || md5(text), ';' ORDER BY rank) AS examples
+            FROM ({described}) GROUP BY ALL""",
+        **retrieval(3, restrict=True),
+    )
+    out["priority_history"] = _sql(
+        f"""SELECT id_registro, {_priority("lower(coalesce(texto, ''))", HISTORY_HIGH_TERMS, DEFAULT_MEDIUM_TERMS)} AS priority,
+                   {_priority("lower(coalesce(texto, ''))", HIGH_TERMS, MEDIUM_TERMS)} AS priority_test_terms
+            FROM records"""
+    )
+
+    # split and evaluation
+    out["stratified_split"] = _sql("SELECT id_registro, classe_macro, split FROM split")
+    out["split_guards"] = _sql(
+        """SELECT sum(c) AS registros, count(*) AS classes, min(c) AS menor_classe,
+                  CAST(ceil(sum(c) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS teste,
+                  min(c) >= 2 AND ceil(sum(c) * CAST(0.2 AS DOUBLE)) >= count(*) AS stratified
+           FROM (SELECT classe_macro, count(*) AS c FROM modeling GROUP BY 1)"""
+    )
+    out["class_weights"] = _sql(
+        f"""SELECT classe_macro AS label, count(*) AS n_class,
+                   {rounded('CAST(sum(count(*)) OVER () AS DOUBLE) / (count(*) OVER () * count(*))', 6)} AS weight
+            FROM train GROUP BY 1"""
+    )
+    out["taxonomy"] = _sql(
+        "SELECT macro_class, record_count, detail_count, array_to_string(detail_options, ', ') AS detail_options FROM options"
+    )
+    out["fallback_label"] = _sql(
+        "SELECT classe_detalhada AS label, count(*) AS records FROM train GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1"
+    )
+    out["valid_details"] = _sql(
+        """SELECT id, macro, array_to_string(valid_classes, ', ') AS valid_classes,
+                  valid_classes IS NOT NULL AS known FROM contexts"""
+    )
+    out["confusion_matrix"] = _sql(
+        """SELECT g.level, g.expected, g.predicted, coalesce(c.records, 0) AS records
+           FROM (SELECT a.level, a.label AS expected, b.label AS predicted FROM scores a JOIN scores b ON a.level = b.level) g
+           LEFT JOIN counts c ON c.level = g.level AND c.expected = g.expected AND c.predicted = g.predicted"""
+    )
+    out["weighted_metrics"] = _sql("SELECT * FROM metrics")
+    report = f"""
+        SELECT level, label, {rounded('precision', 4)} AS precision, {rounded('recall', 4)} AS recall,
+               {rounded('f1_score', 4)} AS f1_score, CAST(support AS BIGINT) AS support FROM scores
+        UNION ALL
+        SELECT level, 'macro avg', {rounded('avg(precision)', 4)}, {rounded('avg(recall)', 4)},
+               {rounded('avg(f1_score)', 4)}, CAST(sum(support) AS BIGINT) FROM scores GROUP BY level
+        UNION ALL
+        SELECT level, 'weighted avg', {rounded('sum(precision * support) / sum(support)', 4)},
+               {rounded('sum(recall * support) / sum(support)', 4)},
+               {rounded('sum(f1_score * support) / sum(support)', 4)}, CAST(sum(support) AS BIGINT)
+        FROM scores GROUP BY level"""
+    out["class_report"] = _sql(report)
+    out["class_report_sorted"] = _sql(
+        f"""SELECT label, {rounded('precision', 3)} AS precision, {rounded('recall', 3)} AS recall,
+                   {rounded('f1_score', 3)} AS f1_score, CAST(support AS BIGINT) AS support
+            FROM scores WHERE level = 'macro'"""
+    )
+    out["macro_f1"] = _sql(
+        f"""SELECT 'accuracy' AS metrica, {rounded('sum(hits) / sum(support)', 4)} AS valor FROM scores WHERE level = 'macro'
+            UNION ALL SELECT 'macro_f1', {rounded('avg(f1_score)', 4)} FROM scores WHERE level = 'macro'
+            UNION ALL SELECT 'registros_teste', sum(support) FROM scores WHERE level = 'macro'
+            UNION ALL SELECT 'registros_treino', CAST(count(*) AS DOUBLE) FROM train
+            UNION ALL SELECT 'classes_macro', CAST(count(DISTINCT classe_macro) AS DOUBLE) FROM train"""
+    )
+    out["prediction_examples"] = _sql(
+        f"""SELECT level, expected = predicted AS is_correct, id_registro, expected, predicted, {short('texto', 220)} AS texto,
+                   row_number() OVER (PARTITION BY level, expected = predicted ORDER BY doc_id) AS posicao
+            FROM predictions QUALIFY posicao <= 5"""
+    )
+    out["error_propagation"] = _sql(
+        f"""SELECT *, CASE WHEN propagation_gap >= 0.1 THEN {_quote(evaluate._STRONG_PROPAGATION)}
+                           WHEN propagation_gap > 0 THEN {_quote(evaluate._SOME_PROPAGATION)}
+                           ELSE {_quote(evaluate._NO_PROPAGATION)} END AS propagation_message,
+                   CASE WHEN macro_accuracy < 0.75 THEN {_quote(evaluate._UNSTABLE_MACRO)}
+                        ELSE {_quote(evaluate._STABLE_MACRO)} END AS genai_role
+            FROM (SELECT *, {rounded('greatest(detailed_accuracy_with_true_macro - detailed_accuracy, 0)', 4)} AS propagation_gap
+                  FROM (SELECT max(accuracy) FILTER (level = 'macro') AS macro_accuracy,
+                               max(accuracy) FILTER (level = 'detailed') AS detailed_accuracy,
+                               max(accuracy) FILTER (level = 'detailed_oracle') AS detailed_accuracy_with_true_macro
+                        FROM metrics))"""
+    )
+    out["risk_classes"] = _sql(
+        f"""SELECT label, recall, support, 'A classe ' || chr(39) || label || chr(39) || ' pediu atenção, com recall ' || CAST(recall AS VARCHAR)
+                   || ' e suporte ' || support || ', o que sugere risco maior de confusão no detalhamento.' AS risk_pattern
+            FROM ({report}) WHERE level = 'detailed' AND label NOT IN ('macro avg', 'weighted avg')
+            ORDER BY recall, support, label LIMIT 3"""
+    )
+
+    # refinement and routing
+    out["lexical_refine"] = _sql("SELECT id, macro, lexical_class AS detailed_class FROM lexical")
+    out["priority_refine"] = _sql(
+        f"""SELECT id, lexical_priority AS priority,
+                   {_priority('lower(refiner_text)', HIGH_TERMS, MEDIUM_TERMS)} AS priority_test_terms FROM lexical"""
+    )
+    out["ambiguity"] = _sql("SELECT id, lexical_ambiguous AS ambiguous_case FROM lexical")
+    out["parse_responses"] = _sql(
+        f"""SELECT id, body, CASE WHEN p_error IS NULL THEN 'ok' ELSE 'invalid' END AS status, p_error AS error,
+                   CASE WHEN p_error IS NULL THEN p_class END AS detailed_class,
+                   CASE WHEN p_error IS NULL THEN CASE WHEN p_justification = '' THEN {_quote(refine.NO_JUSTIFICATION)}
+                        ELSE p_justification END END AS justification,
+                   CASE WHEN p_error IS NULL THEN CASE WHEN p_priority = '' THEN {_quote(refine.NO_PRIORITY)}
+                        ELSE p_priority END END AS priority,
+                   CASE WHEN p_error IS NULL THEN p_ambiguous END AS ambiguous_case
+            FROM parsed WHERE body IS NOT NULL"""
+    )
+    out["refine_with_fallback"] = _sql(
+        f"""SELECT id, provider, 'remote' AS requested_provider, fallback_reason,
+                   CASE provider WHEN 'mock' THEN 'mock' WHEN 'remote' THEN 'api' ELSE 'degradado' END AS mode,
+                   CASE WHEN provider = 'indisponível' THEN 'baseline_only' ELSE 'ok' END AS status,
+                   CASE provider WHEN 'mock' THEN lexical_class WHEN 'remote' THEN p_class ELSE baseline_detail END
+                       AS detailed_class,
+                   CASE provider WHEN 'mock' THEN {_quote(refine.LEXICAL_JUSTIFICATION)}
+                                 WHEN 'remote' THEN CASE WHEN p_justification = '' THEN {_quote(refine.NO_JUSTIFICATION)}
+                                                         ELSE p_justification END
+                                 ELSE {_quote(refine.DEGRADED_JUSTIFICATION)} END AS justification,
+                   CASE provider WHEN 'mock' THEN lexical_priority
+                                 WHEN 'remote' THEN CASE WHEN p_priority = '' THEN {_quote(refine.NO_PRIORITY)} ELSE p_priority END
+                                 ELSE {_quote(refine.NO_PRIORITY)} END AS priority,
+                   CASE provider WHEN 'mock' THEN lexical_ambiguous WHEN 'remote' THEN p_ambiguous ELSE false END AS ambiguous_case
+            FROM refined"""
+    )
+    quoted = "CAST(to_json({}) AS VARCHAR)".format
+    shots = f"""
+        SELECT id, count(*) AS n, string_agg('{{' || chr(10) || '      "text": ' || {quoted('text')}
+                 || ',' || chr(10) || '      "macro_class": ' || {quoted('macro_class')}
+                 || ',' || chr(10) || '      "detailed_class": ' || {quoted('detailed_class')}
+                 || ',' || chr(10) || '      "justification": "Caso historico com similaridade TF-IDF de ' || similarity_percent
+                 || ' em relacao ao texto atual."'
+                 || ',' || chr(10) || '      "priority": ' || {quoted('priority')}
+                 || ',' || chr(10) || '      "ambiguous_case": false' || chr(10) || '    }}',
+               ',' || chr(10) || '    ' ORDER BY rank) AS shots
+        FROM ({described}) GROUP BY id"""
+    instruction_lines = " || ',' || chr(10) || '    ' || ".join(_quote(f'"{line}"') for line in refine.INSTRUCTIONS)
+    out["build_prompts"] = _sql(
+        f"""SELECT c.id, coalesce(s.n, 0) AS few_shot_count,
+                   '{{' || chr(10) || '  "task": ' || {_quote('"' + refine.TASK + '"')}
+                   || ',' || chr(10) || '  "baseline_role": ' || {_quote('"' + refine.BASELINE_ROLE + '"')}
+                   || ',' || chr(10) || '  "instructions": [' || chr(10) || '    ' || {instruction_lines}
+                   || chr(10) || '  ],' || chr(10) || '  "predicted_macro": ' || {quoted('macro')}
+                   || ',' || chr(10) || '  "valid_detailed_classes": [' || chr(10) || '    '
+                   || array_to_string(list_transform(valid_classes, lambda v: {quoted('v')}), ',' || chr(10) || '    ')
+                   || chr(10) || '  ],' || chr(10) || '  "few_shot_examples": '
+                   || CASE WHEN s.n IS NULL THEN '[]' ELSE '[' || chr(10) || '    ' || s.shots || chr(10) || '  ]' END
+                   || ',' || chr(10) || '  "text": ' || {quoted('refiner_text')} || chr(10) || '}}' AS prompt
+            FROM contexts c LEFT JOIN shots s ON s.id = c.id""",
+        **retrieval(3, restrict=True),
+        shots=shots,
+    )
+    out["refine"] = _sql(
+        f"""SELECT l.id, 'mock' AS provider, 'mock' AS requested_provider, 'mock' AS mode, 'ok' AS status,
+                   CAST(NULL AS VARCHAR) AS fallback_reason, lexical_class AS detailed_class,
+                   {_quote(refine.LEXICAL_JUSTIFICATION)} AS justification, lexical_priority AS priority,
+                   lexical_ambiguous AS ambiguous_case, baseline_detail, CAST(coalesce(f.n, 0) AS INTEGER) AS few_shot_count
+            FROM lexical l LEFT JOIN (SELECT id, count(*) AS n FROM found GROUP BY 1) f ON f.id = l.id""",
+        **retrieval(3, restrict=True),
+    )
+    band = "CASE WHEN confidence >= 0.75 THEN 'alta' WHEN confidence >= 0.45 THEN 'media' ELSE 'baixa' END"
+    out["confidence_band"] = _sql(
+        f"""SELECT id, confidence, {band} AS confidence_band, format('{{:.1f}}%', confidence * 100) AS confidence_percent
+            FROM predicted"""
+    )
+    rules = (
+        ("provider = 'indisponível'", routing._REFINER_UNUSABLE),
+        ("final_ambiguous OR band = 'baixa'", routing._UNCERTAIN),
+        ("band = 'media'", routing._PLAUSIBLE),
+        ("lower(trim(final_priority)) = 'alta'", routing._URGENT),
+        ("true", routing._AUTOMATIC),
+    )
+
+    def outcome(at: int) -> str:
+        def literal(value) -> str:
+            return str(value).lower() if isinstance(value, bool) else _quote(value)
+
+        return "CASE " + " ".join(f"WHEN {rule} THEN {literal(values[at])}" for rule, values in rules) + " END"
+
+    out["routing"] = _sql(
+        f"""SELECT id, band AS confidence_level,
+                   {', '.join(f'{outcome(at)} AS {name}' for at, name in enumerate(routing._FIELDS))}
+            FROM (SELECT *, {band} AS band,
+                         CASE provider WHEN 'mock' THEN lexical_ambiguous WHEN 'remote' THEN p_ambiguous ELSE false END
+                             AS final_ambiguous,
+                         CASE provider WHEN 'mock' THEN lexical_priority WHEN 'remote' THEN p_priority ELSE '' END
+                             AS final_priority
+                  FROM refined)"""
+    )
+
+    # files and composite jobs
+    def missing(name: str) -> str:
+        return f"CASE WHEN {name} NOT IN ({_list(NA_TOKENS)}) THEN {name} END AS {name}"
+
+    out["csv_scan"] = _sql(f"SELECT {', '.join(missing(name) for name in REQUIRED_COLUMNS)} FROM records")
+    out["land_batch"] = _sql(f"SELECT {cols}, 'upload' AS source, 'first' AS batch FROM records")
+    out["latest_batch"] = _sql(
+        f"SELECT {cols} FROM records WHERE canal_origem = (SELECT max(canal_origem) FROM records)"
+    )
+    out["eda_report"] = _sql(
+        " UNION ALL ".join(
+            [
+                f"SELECT 'macro' AS section, label, value FROM ({out['dist_macro']})",
+                f"SELECT 'channel', label, value FROM ({out['dist_channel']})",
+                f"SELECT 'detailed_top', label, value FROM ({out['dist_detailed_top']})",
+                f"SELECT 'overview', indicador, valor FROM ({out['overview']})",
+                f"SELECT 'dataset', columns, row_count FROM ({out['dataset_summary']})",
+            ]
+        )
+    )
     return out
