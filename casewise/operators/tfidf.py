@@ -17,6 +17,7 @@ from casewise.functions.unicode import strip_accents
 
 EVERYTHING = "all"
 _KEY = "\u001f"
+_NEXT = "\u001e"
 _DOCUMENT = ""
 
 # Vocabulary entries the driver may hold; larger vocabularies are joined instead.
@@ -88,19 +89,18 @@ def fit_vocabulary(docs: DataFrame, max_features: int, overall: str | None = Non
     if overall is not None:
         rolled = counts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
         counts = counts.unionByName(rolled.withColumn("scope", F.lit(overall)))
-    documents = counts.where(F.col("term") == _DOCUMENT).select("scope", F.col("total").alias("n"))
-    frequent = [F.desc("total"), F.asc("term")]
-    salted = counts.where(F.col("term") != _DOCUMENT).withColumn(
-        "salt", F.pmod(F.xxhash64("term"), F.lit(RANK_SALTS))
-    )
-    # A term among the first N of its scope is among the first N of its salt as well.
-    shortlist = salted.withColumn(
-        "place", F.row_number().over(Window.partitionBy("scope", "salt").orderBy(*frequent))
-    ).where(F.col("place") <= max_features)
-    ranked = shortlist.withColumn(
-        "place", F.row_number().over(Window.partitionBy("scope").orderBy(*frequent))
-    ).where(F.col("place") <= max_features)
-    return ranked.join(documents, "scope").select(
+    is_document = F.col("term") == _DOCUMENT
+    order = [F.desc(is_document), F.desc("total"), F.asc("term")]
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(RANK_SALTS)))
+    # A term among the first N of its scope is among the first N of its salt as well. The row that
+    # counts the documents sorts first, so both levels keep it next to the N terms.
+    by_salt = Window.partitionBy("scope", "salt").orderBy(*order)
+    shortlist = salted.withColumn("place", F.row_number().over(by_salt)).where(F.col("place") <= max_features + 1)
+    by_scope = Window.partitionBy("scope").orderBy(*order)
+    ranked = shortlist.withColumns(
+        {"place": F.row_number().over(by_scope) - 1, "n": F.first("total").over(by_scope)}
+    ).where((F.col("place") <= max_features) & ~is_document)
+    return ranked.select(
         "scope", "term", "place", "total", "df", "n", idf(F.col("n"), F.col("df")).alias("idf")
     )
 
@@ -160,9 +160,7 @@ class TermSpace:
             return docs.drop("terms").withColumns(
                 {"idx": F.lit([]).cast("array<int>"), "weight": F.lit([]).cast("array<double>")}
             )
-        keyed = docs.withColumn(
-            "_keys", F.transform("terms", lambda term: F.concat_ws(_KEY, F.col("scope"), term))
-        )
+        keyed = docs.withColumn("_keys", _prefixed(F.concat(F.col("scope"), F.lit(_KEY)), F.col("terms")))
         counted = self.model.transform(keyed).withColumn("_counts", F.unwrap_udt("_counts"))
         raw = F.zip_with(
             "_counts.indices",
@@ -174,11 +172,11 @@ class TermSpace:
         )
         placed = counted.withColumn("_raw", F.sort_array(raw))
         length = F.sqrt(F.aggregate("_raw.weight", F.lit(0.0), lambda total, w: total + w * w))
-        return (
-            placed.withColumn("_length", length)
-            .withColumn("idx", F.col("_raw.place"))
-            .withColumn("weight", F.transform("_raw.weight", lambda w: w / F.col("_length")))
-            .drop("terms", "_keys", "_counts", "_raw", "_length")
+        # The length is an argument, not read inside the lambda: there it would be worked out anew
+        # for every element.
+        normalized = F.zip_with("_raw.weight", F.array_repeat(length, F.size("_raw")), lambda w, size: w / size)
+        return placed.withColumns({"idx": F.col("_raw.place"), "weight": normalized}).drop(
+            "terms", "_keys", "_counts", "_raw"
         )
 
 
@@ -236,6 +234,13 @@ def as_ml_vectors(vectors: DataFrame, dimension: int, keep: list[str]) -> DataFr
     return shaped.mapInArrow(lambda batches: batches, schema)
 
 
+def _prefixed(prefix: Column, terms: Column) -> Column:
+    """Every term behind a prefix. Joined and split again rather than transformed: the prefix may
+    come from a Python UDF, which Spark cannot evaluate inside a lambda."""
+    joined = F.call_function("array_join", terms, F.concat(F.lit(_NEXT), prefix))
+    return F.split(F.concat(prefix, joined), _NEXT)
+
+
 def _literal_array(values, kind: str) -> Column:
     """A long constant array: one string that the optimizer folds, instead of one literal each."""
     return F.split(F.lit(",".join(repr(value) for value in values)), ",").cast(f"array<{kind}>")
