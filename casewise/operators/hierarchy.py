@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.config import CasewiseError, TextOptions, TrainOptions
@@ -78,16 +78,25 @@ class HierarchyModel:
     def _detailed(self) -> LinearScorer:
         return LinearScorer(self.detailed_linear)
 
-    def _vectors(self, rows: DataFrame) -> DataFrame:
+    def with_terms(self, cases: DataFrame) -> DataFrame:
+        """Add the vectoriser's terms; predictions work them out themselves where they are missing."""
+        return with_terms(cases, self.options.processed_column)
+
+    def _predict(
+        self, cases: DataFrame, scorer: LinearScorer, scope: Column, model: Column, label: str, probability: str | None
+    ) -> DataFrame:
+        given = "terms" in cases.columns
+        rows = (cases if given else self.with_terms(cases)).withColumns({"scope": scope, "model": model})
         if self._space is not None:
-            return self._space.vectorize(rows)
-        return vectorize(rows, self.vocabulary, max_entries=0)
+            vectors = self._space.vectorize(rows)
+        else:
+            vectors = vectorize(rows, self.vocabulary, max_entries=0)
+        scored = scorer.predict(vectors, label, probability)
+        return scored.drop("scope", *([] if given else ["terms"]))
 
     def predict_macro(self, cases: DataFrame, label: str = "macro", confidence: str | None = None) -> DataFrame:
         """Add the macro class; ``cases`` has id and the processed text."""
-        rows = with_terms(cases.withColumn("scope", F.lit(EVERYTHING)), self.options.processed_column)
-        vectors = self._vectors(rows).withColumn("model", F.lit(MACRO_MODEL))
-        return self._macro.predict(vectors, label, confidence).drop("scope")
+        return self._predict(cases, self._macro, F.lit(EVERYTHING), F.lit(MACRO_MODEL), label, confidence)
 
     def predict_detailed(
         self, cases: DataFrame, macro: str = "macro", label: str = "detail", use_macro_filter: bool = True
@@ -97,20 +106,13 @@ class HierarchyModel:
         A macro without a model of its own goes to the global model, as does every row when
         ``use_macro_filter`` is off.
         """
-        own_model = F.lit(False)
+        scope, model = F.lit(EVERYTHING), F.lit(GLOBAL_DETAIL_MODEL)
         if use_macro_filter:
-            known = sorted(self._detailed.names - {GLOBAL_DETAIL_MODEL})
-            own_model = F.concat(F.lit("detail:"), macro_scope(F.col(macro))).isin(known)
-        rows = cases.withColumns(
-            {
-                "scope": F.when(own_model, macro_scope(F.col(macro))).otherwise(F.lit(EVERYTHING)),
-                "model": F.when(own_model, F.concat(F.lit("detail:"), macro_scope(F.col(macro)))).otherwise(
-                    F.lit(GLOBAL_DETAIL_MODEL)
-                ),
-            }
-        )
-        vectors = self._vectors(with_terms(rows, self.options.processed_column))
-        scored = self._detailed.predict(vectors, label).drop("scope")
+            own = F.concat(F.lit("detail:"), macro_scope(F.col(macro)))
+            known = own.isin(sorted(self._detailed.names - {GLOBAL_DETAIL_MODEL}))
+            scope = F.when(known, macro_scope(F.col(macro))).otherwise(scope)
+            model = F.when(known, own).otherwise(model)
+        scored = self._predict(cases, self._detailed, scope, model, label, None)
         return scored.withColumn(label, F.coalesce(F.col(label), F.lit(self.fallback)))
 
 
@@ -140,7 +142,7 @@ def train_hierarchy(
     if classes.isEmpty():
         raise CasewiseError("Não foi possível treinar a camada detalhada com o dataset atual.")
     both = docs.unionByName(docs.withColumn("scope", F.lit(EVERYTHING)))
-    vectors = materialize(vectorize(both, vocabulary), "vectors", partition_by="scope")
+    vectors = materialize(vectorize(both, vocabulary).drop("terms"), "vectors", partition_by="scope")
     dimensions = {row[0]: row[1] for row in vocabulary.groupBy("scope").agg(F.max("place")).collect()}
 
     def fit(name: str, scope: str, label: str) -> tuple[str, LinearModel]:

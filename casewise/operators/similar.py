@@ -92,7 +92,7 @@ def match_history(
         "processed",
     )
     query_vectors = materialize(
-        vectorize(with_terms(scoped, "processed").drop("processed"), vocabulary), "query-vectors"
+        vectorize(with_terms(scoped, "processed").drop("processed"), vocabulary).drop("terms"), "query-vectors"
     )
     cases = history
     if not query_vectors.where(F.col("scope") == EVERYTHING).isEmpty():

@@ -6,6 +6,8 @@ Every table carries its scope, so any number of vocabularies is fitted in one jo
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import CountVectorizer
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
@@ -137,47 +139,60 @@ class TermSpace:
     """Turns terms into sparse TF-IDF vectors inside each row, without a shuffle.
 
     Scope and term together form one key, so a single Spark ML ``CountVectorizer`` model counts
-    the terms of every scope; the idf and the position inside the scope are looked up by index.
-    The vocabulary is bounded by ``scopes x max_features``, which is checked before it is used.
+    the terms of every scope JVM-side; what is left, the few counts of each row, is weighted in
+    Arrow batches. Literal lookup arrays would keep this in the JVM too, but tens of thousands of
+    literals make planning take longer than the job. The vocabulary is bounded by
+    ``scopes x max_features``, which is checked before it is used.
     """
 
     def __init__(self, vocabulary: DataFrame):
         keyed = vocabulary.select("scope", "place", "idf", F.concat_ws(_KEY, "scope", "term").alias("key"))
-        entries = {row["key"]: row for row in keyed.toArrow().to_pylist()}
+        entries = keyed.toArrow().to_pandas().set_index("key")
         self.model = None
-        if entries:
+        if len(entries):
             counter = CountVectorizer(
                 inputCol="_keys", outputCol="_counts", vocabSize=len(entries), minDF=1, minTF=1
             )
             self.model = counter.fit(keyed.select(F.array("key").alias("_keys")))
-            ordered = [entries[key] for key in self.model.vocabulary]
-            self._idf = _literal_array((row["idf"] for row in ordered), "double")
-            self._place = _literal_array((row["place"] - 1 for row in ordered), "int")
+            ordered = entries.loc[self.model.vocabulary]
+            self._tables = vocabulary.sparkSession.sparkContext.broadcast(
+                (ordered["idf"].to_numpy(), ordered["place"].to_numpy().astype(np.int32) - 1)
+            )
+
+    def _weigh(self, sublinear: bool):
+        tables = self._tables
+
+        @F.pandas_udf("idx array<int>, weight array<double>")
+        def weigh(indices: pd.Series, counts: pd.Series) -> pd.DataFrame:
+            idf_of, place_of = tables.value
+            lengths = indices.str.len().to_numpy()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            entry = np.concatenate(indices.to_list()).astype(np.int64)
+            count = np.concatenate(counts.to_list())
+            weight = (1.0 + np.log(count) if sublinear else count) * idf_of[entry]
+            length = np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(lengths)))
+            place = place_of[entry]
+            order = np.lexsort((place, row))
+            cuts = np.cumsum(lengths)[:-1]
+            return pd.DataFrame(
+                {
+                    "idx": np.split(place[order], cuts),
+                    "weight": np.split((weight / length[row])[order], cuts),
+                }
+            )
+
+        return weigh
 
     def vectorize(self, docs: DataFrame, sublinear: bool = True) -> DataFrame:
-        """Replace ``terms`` by ``idx`` and ``weight``; a row without known terms gets empty arrays."""
+        """Add ``idx`` and ``weight``; a row without known terms gets empty arrays."""
         if self.model is None:
-            return docs.drop("terms").withColumns(
-                {"idx": F.lit([]).cast("array<int>"), "weight": F.lit([]).cast("array<double>")}
+            return docs.withColumns(
+                {"idx": F.array().cast("array<int>"), "weight": F.array().cast("array<double>")}
             )
         keyed = docs.withColumn("_keys", _prefixed(F.concat(F.col("scope"), F.lit(_KEY)), F.col("terms")))
         counted = self.model.transform(keyed).withColumn("_counts", F.unwrap_udt("_counts"))
-        raw = F.zip_with(
-            "_counts.indices",
-            "_counts.values",
-            lambda at, count: F.struct(
-                F.get(self._place, at).alias("place"),
-                (damped(count, sublinear) * F.get(self._idf, at)).alias("weight"),
-            ),
-        )
-        placed = counted.withColumn("_raw", F.sort_array(raw))
-        length = F.sqrt(F.aggregate("_raw.weight", F.lit(0.0), lambda total, w: total + w * w))
-        # The length is an argument, not read inside the lambda: there it would be worked out anew
-        # for every element.
-        normalized = F.zip_with("_raw.weight", F.array_repeat(length, F.size("_raw")), lambda w, size: w / size)
-        return placed.withColumns({"idx": F.col("_raw.place"), "weight": normalized}).drop(
-            "terms", "_keys", "_counts", "_raw"
-        )
+        weighed = counted.withColumn("_vector", self._weigh(sublinear)("_counts.indices", "_counts.values"))
+        return weighed.select(*docs.columns, "_vector.idx", "_vector.weight")
 
 
 def vectorize(
@@ -196,8 +211,7 @@ def vectorize(
     )
     empty = F.array().cast("array<struct<place:int,weight:double>>")
     return (
-        docs.drop("terms")
-        .join(vectors, [id_column, "scope"], "left")
+        docs.join(vectors, [id_column, "scope"], "left")
         .withColumn("_raw", F.coalesce("_raw", empty))
         .withColumn("idx", F.col("_raw.place"))
         .withColumn("weight", F.col("_raw.weight"))
@@ -239,8 +253,3 @@ def _prefixed(prefix: Column, terms: Column) -> Column:
     come from a Python UDF, which Spark cannot evaluate inside a lambda."""
     joined = F.call_function("array_join", terms, F.concat(F.lit(_NEXT), prefix))
     return F.split(F.concat(prefix, joined), _NEXT)
-
-
-def _literal_array(values, kind: str) -> Column:
-    """A long constant array: one string that the optimizer folds, instead of one literal each."""
-    return F.split(F.lit(",".join(repr(value) for value in values)), ",").cast(f"array<{kind}>")

@@ -29,7 +29,7 @@ class TrainingResult:
 
 def predict_test(model: HierarchyModel, test: DataFrame) -> DataFrame:
     """Test predictions of all three levels, as evaluation rows."""
-    rows = test.withColumn("id", F.col("id_registro"))
+    rows = model.with_terms(test.withColumn("id", F.col("id_registro")))
     scored = model.predict_macro(rows, "_macro")
     scored = model.predict_detailed(scored, "_macro", "_detail")
     scored = model.predict_detailed(scored, "classe_macro", "_oracle")
