@@ -75,7 +75,10 @@ class _Normalization:
         def rare(texts: pd.Series) -> pd.Series:
             return texts.map(normalise, na_action="ignore")
 
-        self._rare = rare
+        # Declared nondeterministic so that the optimizer evaluates it once, where it is written. A
+        # filter on processed text would otherwise be pushed below joins and repartitions together
+        # with a second copy of the whole tokeniser.
+        self._rare = rare.asNondeterministic()
 
     def __call__(self, text: Column) -> Column:
         replaced = text
