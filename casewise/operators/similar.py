@@ -8,7 +8,8 @@ is among the best of its block.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -20,7 +21,15 @@ from casewise.functions.labels import history_priority
 from casewise.functions.numbers import percent, round_exact
 from casewise.functions.text import strip, stripped_or_blank
 from casewise.operators.prepare import modeling_table, prepare_texts
-from casewise.operators.tfidf import EVERYTHING, fit_vocabulary, macro_scope, vectorize, with_terms
+from casewise.operators.tfidf import (
+    EVERYTHING,
+    MAX_ENTRIES,
+    TermSpace,
+    fit_vocabulary,
+    macro_scope,
+    vectorize,
+    with_terms,
+)
 from casewise.session import materialize
 
 # Query vectors a broadcast may carry; more queries go through the block grid.
@@ -32,19 +41,22 @@ GRID_QUERY_ROWS = 5_000
 _MATCH_SCHEMA = "id string, history_id string, number bigint, signature string, score double"
 
 
-def retrieval_scope(queries: DataFrame, records: DataFrame, restrict_to_macro: bool = True) -> DataFrame:
+def known_macros(records: DataFrame) -> DataFrame:
+    """Macro classes that occur in the history, as a written table of a few rows."""
+    macros = records.select(stripped_or_blank(F.col("classe_macro")).alias("_macro")).distinct()
+    return materialize(macros, "history-macros")
+
+
+def retrieval_scope(queries: DataFrame, macros: DataFrame, restrict_to_macro: bool = True) -> DataFrame:
     """Add the history scope of each query: its macro where the history knows it, else global.
 
     The macro only has to occur in the history; whether its records are usable comes later.
     """
     if not restrict_to_macro:
         return queries.withColumn("scope", F.lit("global"))
-    known = materialize(
-        records.select(stripped_or_blank(F.col("classe_macro")).alias("_macro")).distinct(), "history-macros"
-    ).withColumn("scope", F.lit("macro"))
     wanted = queries.withColumn("_macro", stripped_or_blank(F.col("macro")))
     return (
-        wanted.join(known, "_macro", "left")
+        wanted.join(macros.withColumn("scope", F.lit("macro")), "_macro", "left")
         .withColumn("scope", F.coalesce("scope", F.lit("global")))
         .drop("_macro")
     )
@@ -71,45 +83,6 @@ def fit_history(history: DataFrame, max_features: int = HISTORY_FEATURES) -> Dat
     return fit_vocabulary(with_terms(history, "processed").select("scope", "terms"), max_features, EVERYTHING)
 
 
-def match_history(
-    queries: DataFrame,
-    history: DataFrame,
-    vocabulary: DataFrame,
-    k: int = TOP_K,
-    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
-) -> DataFrame:
-    """Best ``k`` distinct history cases per query, as (id, rank, history_id, score).
-
-    ``queries`` has id, scope (``macro``/``global``), macro and processed; ``history`` and
-    ``vocabulary`` are written tables. Cases with no term in common count with score 0, so a
-    query gets ``min(k, distinct cases in scope)`` rows.
-    """
-    scoped = queries.select(
-        "id",
-        F.when(F.col("scope") == "macro", macro_scope(stripped_or_blank(F.col("macro"))))
-        .otherwise(F.lit(EVERYTHING))
-        .alias("scope"),
-        "processed",
-    )
-    query_vectors = materialize(
-        vectorize(with_terms(scoped, "processed").drop("processed"), vocabulary).drop("terms"), "query-vectors"
-    )
-    cases = history
-    if not query_vectors.where(F.col("scope") == EVERYTHING).isEmpty():
-        cases = history.unionByName(history.withColumn("scope", F.lit(EVERYTHING)))
-    # Histories outside every query's scope are left out before any vector is built.
-    wanted = materialize(query_vectors.select("scope").distinct(), "query-scopes")
-    cases = cases.join(wanted, "scope", "left_semi")
-    vectors = vectorize(
-        with_terms(cases, "processed").drop("processed"), vocabulary, id_column="history_id"
-    )
-    if query_vectors.count() <= max_broadcast_queries:
-        found = _match_broadcast(query_vectors, vectors, k)
-    else:
-        found = _match_grid(query_vectors, vectors, vocabulary, k)
-    return _best(found, k)
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Merge the block results: one row per repeated case, then the first ``k`` per query."""
     first = [F.desc("score"), F.asc("number"), F.asc("history_id")]
@@ -277,12 +250,19 @@ def similar_cases(
 
 
 class HistoryIndex:
-    """A prepared history: processed cases and fitted vocabularies as written tables."""
+    """A prepared history: processed cases, vocabularies and vectors as written tables.
 
-    def __init__(self, records: DataFrame, history: DataFrame, vocabulary: DataFrame, options: TextOptions):
+    It is built once and searched any number of times, by every micro-batch of a stream for one;
+    a search then reads vectors and never touches the texts before the final matches.
+    """
+
+    def __init__(
+        self, records: DataFrame, history: DataFrame, vocabulary: DataFrame, macros: DataFrame, options: TextOptions
+    ):
         self.records = records
         self.history = history
         self.vocabulary = vocabulary
+        self.macros = macros
         self.options = options
 
     @classmethod
@@ -292,7 +272,52 @@ class HistoryIndex:
         options = options or TextOptions()
         history = materialize(history_table(records, options), "history")
         vocabulary = materialize(fit_history(history, max_features), "history-vocabulary")
-        return cls(records, history, vocabulary, options)
+        return cls(records, history, vocabulary, known_macros(records), options)
+
+    @cached_property
+    def _space(self) -> TermSpace | None:
+        return TermSpace(self.vocabulary) if self.vocabulary.count() <= MAX_ENTRIES else None
+
+    def _vectors(self, docs: DataFrame, id_column: str) -> DataFrame:
+        rows = with_terms(docs, "processed").drop("processed")
+        if self._space is not None:
+            return self._space.vectorize(rows).drop("terms")
+        return vectorize(rows, self.vocabulary, id_column, max_entries=0).drop("terms")
+
+    @cached_property
+    def _macro_vectors(self) -> DataFrame:
+        return materialize(self._vectors(self.history, "history_id"), "history-vectors", partition_by="scope")
+
+    @cached_property
+    def _all_vectors(self) -> DataFrame:
+        """Vectors of the global scope, made when the first query asks for them."""
+        everything = self.history.withColumn("scope", F.lit(EVERYTHING))
+        return materialize(self._vectors(everything, "history_id"), "history-vectors-all")
+
+    def match(self, queries: DataFrame, k: int = TOP_K, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
+        """Best ``k`` distinct history cases per query, as (id, rank, history_id, score).
+
+        ``queries`` has id, scope (``macro``/``global``), macro and processed. Cases with no term in
+        common count with score 0, so a query gets ``min(k, distinct cases in scope)`` rows.
+        """
+        in_macro = F.col("scope") == "macro"
+        scoped = queries.select(
+            "id",
+            F.when(in_macro, macro_scope(stripped_or_blank(F.col("macro")))).otherwise(F.lit(EVERYTHING)).alias("scope"),
+            "processed",
+        )
+        asked = materialize(self._vectors(scoped, "id"), "query-vectors")
+        scopes = materialize(asked.select("scope").distinct(), "query-scopes")
+        cases = self._macro_vectors
+        if not scopes.where(F.col("scope") == EVERYTHING).isEmpty():
+            cases = cases.unionByName(self._all_vectors)
+        # Only the partitions of the scopes asked for are read.
+        cases = cases.join(scopes, "scope", "left_semi")
+        if asked.count() <= max_broadcast_queries:
+            found = _match_broadcast(asked, cases, k)
+        else:
+            found = _match_grid(asked, cases, self.vocabulary, k)
+        return _best(found, k)
 
     def search(
         self,
@@ -301,21 +326,17 @@ class HistoryIndex:
         restrict_to_macro: bool = True,
         max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
     ) -> DataFrame:
+        """Similar past cases of each query (id, texto, macro), one row per case."""
         options = self.options
-        scoped = retrieval_scope(queries.select("id", "texto", "macro"), self.records, restrict_to_macro)
+        scoped = retrieval_scope(queries.select("id", "texto", "macro"), self.macros, restrict_to_macro)
         asked = (
             prepare_texts(scoped.withColumnRenamed("texto", options.source_column), options)
             .select("id", "scope", "macro", F.col(options.processed_column).alias("processed"))
             .where(F.col("processed") != "")
         )
         asked = materialize(asked, "queries")
-        matches = materialize(
-            match_history(asked, self.history, self.vocabulary, k, max_broadcast_queries).join(
-                asked.select("id", "scope"), "id"
-            ),
-            "matches",
-        )
-        return describe_matches(matches, self.records)
+        matches = self.match(asked, k, max_broadcast_queries).join(asked.select("id", "scope"), "id")
+        return describe_matches(materialize(matches, "matches"), self.records)
 
 
 def describe_matches(matches: DataFrame, records: DataFrame) -> DataFrame:

@@ -254,7 +254,7 @@ def _tfidf_plain(spark, sf):
 @query("retrieval_scope")
 def _retrieval_scope(spark, sf):
     queries = data.predicted_cases(spark, sf).select("id", "macro")
-    return similar.retrieval_scope(queries, data.records(spark, sf))
+    return similar.retrieval_scope(queries, similar.known_macros(data.records(spark, sf)))
 
 
 def _rank_as_long(cases):

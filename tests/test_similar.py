@@ -165,10 +165,9 @@ def test_vocabulary_counts(spark):
 def test_history_is_not_shuffled_for_few_queries(spark, make_records, crowd):
     history, queries = crowd
     records = make_records(history)
-    prepared = materialize(similar.history_table(records), "h")
-    vocabulary = materialize(similar.fit_history(prepared), "v")
+    index = similar.HistoryIndex.build(records)
     asked = spark.createDataFrame([(q, "macro", m, t) for q, t, m in queries], "id string, scope string, macro string, processed string")
-    plan = similar.match_history(asked, prepared, vocabulary)._jdf.queryExecution().executedPlan().toString()
+    plan = index.match(asked)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInPandas"):]
     assert "Exchange hashpartitioning" not in below
-    assert similar.match_history(asked, prepared, vocabulary, k=0).count() == 0
+    assert index.match(asked, k=0).count() == 0
