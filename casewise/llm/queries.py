@@ -1,14 +1,19 @@
 """The queries of this subpackage, by name, and their SQL forms."""
 
 from casewise.llm.chat_format import OP10_SQL, op10_chat_format
+from casewise.llm.decontaminate import OP4_SQL, op4_decontaminate
+from casewise.llm.shard import op8_shard
 from casewise.llm.url_filter import OP2_SQL, op2_url_redirects
 
 QUERIES = {
     "op2_url_redirects": op2_url_redirects,
+    "op4_decontaminate": op4_decontaminate,
+    "op8_shard": op8_shard,
     "op10_chat_format": op10_chat_format,
 }
 
 ORACLE_SQL = {
     "op2_url_redirects": OP2_SQL,
+    "op4_decontaminate": OP4_SQL,
     "op10_chat_format": OP10_SQL,
 }
