@@ -3,14 +3,18 @@
 from casewise.llm.chat_format import OP10_SQL, op10_chat_format
 from casewise.llm.decontaminate import OP4_SQL, op4_decontaminate
 from casewise.llm.dedup import op1_bagminhash_dedup
+from casewise.llm.language import op6_language_id
 from casewise.llm.packing import op7_mixture_packing
+from casewise.llm.pii import op3_information_pii
 from casewise.llm.shard import op8_shard
 from casewise.llm.url_filter import OP2_SQL, op2_url_redirects
 
 QUERIES = {
     "op1_bagminhash_dedup": op1_bagminhash_dedup,
     "op2_url_redirects": op2_url_redirects,
+    "op3_information_pii": op3_information_pii,
     "op4_decontaminate": op4_decontaminate,
+    "op6_language_id": op6_language_id,
     "op7_mixture_packing": op7_mixture_packing,
     "op8_shard": op8_shard,
     "op10_chat_format": op10_chat_format,
