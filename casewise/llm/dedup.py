@@ -220,6 +220,7 @@ def near_duplicate_classes(
     member = nodes.select("content", "shingles", F.explode("bands").alias("band"))
     first = member.groupBy("band").agg(F.min(F.struct("content", "shingles")).alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").select("band", "n", F.col("first.content").alias("a"), F.col("first.shingles").alias("a_shingles"))
+    first = scratch.save(first, "first")  # so that the join stands alone and Spark can split a large bucket
     buckets = scratch.save(member.join(first, "band"), "buckets")
 
     def verified(pairs: DataFrame) -> DataFrame:

@@ -178,6 +178,7 @@ def find_spans(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     near = seen.dropDuplicates(["content"]).select("content", F.explode("terms").alias("t")).select("content", "t.*")
     found = near.join(strong, ["entity", "term"]).groupBy("content", "start", "end").agg(F.max("kind").alias("kind"))  # removed wins
     method = found.groupBy("content").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("method"))
+    method = scratch.save(method, "method")  # so that the join stands alone and Spark can split a text with many copies
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return plain.select("id", "content", "base", none.alias("method")).union(
         seen.join(method, "content", "left").select("id", "content", "base", F.coalesce("method", none).alias("method"))
