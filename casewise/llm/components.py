@@ -27,14 +27,15 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     mark = _mark(star)
     while True:
         both = star.select("u", "v").union(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
+        # Written first, so that the join stands alone and Spark can split a node with very many edges.
+        least = scratch.save(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u")), "least")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))  # here every v is smaller than its u
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        following = scratch.save(small.where("u != v").distinct(), "edges")
-        scratch.drop(star)
+        large = scratch.save(large.where("u != v").distinct(), "large")
+        lower = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), "lower")  # here every v is smaller than its u
+        small = large.join(lower, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = scratch.save(small.union(lower.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        for done in (star, least, large, lower):
+            scratch.drop(done)
         star = following
         now = _mark(star)
         if now == mark:
