@@ -287,13 +287,23 @@ def _verify(scratch: Scratch, texts: DataFrame, nodes: DataFrame, pairs: DataFra
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` (documents) that stay: the one with the smallest id of each class; columns as they are.
 
-    Of repeated rows of that id one stays; null texts all stay.
+    Of repeated rows of that id and text one stays; null texts all stay.
     """
-    kept = near_duplicate_classes(docs).where("kept AND content IS NOT NULL").select("doc_id", "content").distinct()
-    keyed = docs.withColumn("_content", digest(F.col("text")))
-    kept = kept.select(F.col("doc_id").alias("_id"), F.col("content").alias("_key"))
-    match = keyed["doc_id"].eqNullSafe(kept["_id"]) & (keyed["_content"] == kept["_key"])
-    return keyed.join(kept, match, "left").where("_key IS NOT NULL OR _content IS NULL").select(*docs.columns)
+    scratch = Scratch(docs.sparkSession, "kept")
+    judged = near_duplicate_classes(docs).where("content IS NOT NULL").groupBy("doc_id", "content")
+    judged = judged.agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
+    judged = scratch.save(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("id"), "content", "kept"), "judged")
+    rows = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("content"))
+
+    def among(some: DataFrame, how: str, of: DataFrame) -> DataFrame:
+        return of.join(some, of["id"].eqNullSafe(some["id"]) & (of["content"] == some["content"]), how)
+
+    staying = among(judged.where("NOT kept"), "left_anti", rows)
+    repeated = judged.where("kept")
+    if repeated.isEmpty():
+        return staying.select("row.*")
+    once = among(repeated, "left_semi", staying).dropDuplicates(["id", "content"])
+    return among(repeated, "left_anti", staying).union(once).select("row.*")
 
 
 def op1_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

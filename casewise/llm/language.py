@@ -223,18 +223,19 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     if model is None:
         return docs.limit(0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    mark = "_" * (1 + max(map(len, docs.columns)))  # no column's name
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            letter = batch.column("_letter").to_numpy(zero_copy_only=False)
+            letter = batch.column(mark).to_numpy(zero_copy_only=False)
             kept = np.zeros(batch.num_rows, bool)
             for at, to, data, bounds in text_slices(batch.column("text")):
                 names, _ = shared.value.predict(features(data, bounds))
                 names[~letter[at:to]] = UNKNOWN
                 kept[at:to] = names != UNKNOWN
-            yield batch.drop_columns(["_letter"]).filter(pa.array(kept))
+            yield batch.drop_columns([mark]).filter(pa.array(kept))
 
-    return docs.withColumn("_letter", has_letter(F.col("text"))).mapInArrow(judge, docs.schema)
+    return docs.withColumn(mark, has_letter(F.col("text"))).mapInArrow(judge, docs.schema)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from casewise.llm.common import Words, table, text_slices
 SHINGLE_WORDS = 5
 #: One fingerprint of any so many shingles in a row is kept.
 WINNOW = 4
-#: Words by which a copy may run ahead of or behind its template.
+#: Words by which a copy may run ahead of or behind its template: a quarter of it, from 1 to this many.
 BAND = 8
 COVERAGE = 0.8
 MATCH, MISS = 2, -1
@@ -107,7 +107,7 @@ class TemplateIndex:
         return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.array([], int),) * 3
 
 
-def align(template: np.ndarray, text: np.ndarray, start: int, band: int = BAND) -> tuple[int, int, int]:
+def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
     """Best local alignment of a template with the words of a text near the diagonal ``start``.
 
     Returns (words matched, first word, past the last word). Cells more than ``band`` off the diagonal are not
@@ -144,11 +144,12 @@ def _scan(index: TemplateIndex, coverage: float):
                 template, start, text = template[order], start[order], text[order]
                 rows, last = [], None
                 for t, s, d in zip(template.tolist(), start.tolist(), text.tolist()):
-                    if last and last[0] == (d, t) and s - last[1] <= BAND // 2:
+                    band = max(1, min(BAND, len(index.words[t]) // 4))
+                    if last and last[0] == (d, t) and s - last[1] <= band // 2:
                         continue  # the same copy, on a diagonal that the band covers
                     last = ((d, t), s)
                     first, past = int(words.first[d]), int(words.first[d + 1])
-                    matched, a, b = align(index.words[t], words.hash[first:past], s - first)
+                    matched, a, b = align(index.words[t], words.hash[first:past], s - first, band)
                     if matched < coverage * len(index.words[t]):
                         continue
                     if rows and rows[-1][:2] == (d, t) and a < rows[-1][4]:

@@ -191,24 +191,25 @@ def sanitise(docs: DataFrame) -> DataFrame:
     Texts without spans, and null texts, stay as they are; ``n_chars``, where there is one, follows a changed text.
     Only texts with spans are shuffled.
     """
-    spans = find_spans(docs).where("size(base) > 0")
-    spans = spans.select(F.col("content").alias("_key"), F.concat(F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end")])), "method").alias("_spans"))
-    spans = spans.dropDuplicates(["_key"])
-    keyed = docs.withColumn("_content", digest(F.col("text"))).withColumn("_hit", F.size(base_spans(F.col("text"))) > 0)
-    hit = keyed.where("_hit").join(spans, F.col("_content") == F.col("_key"))
-    ordered = hit.withColumn("_spans", _merged(F.col("_spans")))
+    spans = find_spans(docs).where("size(base) > 0").dropDuplicates(["content"])
+    base = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end")]))
+    spans = spans.select("content", _merged(F.concat(base, "method")).alias("spans"))
+    spans = Scratch(docs.sparkSession, "sanitise").save(spans, "spans")
+    text = F.col("text")
+    rows = docs.select(F.struct(F.col("*")).alias("row"), digest(text).alias("content"), (F.size(base_spans(text)) > 0).alias("hit"))
+    hit = rows.where("hit").join(spans, "content")
+    text = F.col("row.text")
 
     def piece(s: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.get(F.col("_spans"), i - 1)["end"]).otherwise(0)
-        label = F.coalesce(*[F.when(s["kind"] == kind, F.lit(text)) for kind, text in LABELS.items()])
-        return F.concat(F.substr(F.col("text"), before + 1, s["start"] - before), label)
-
-    end = F.element_at("_spans", -1)["end"]
-    tail = F.substr(F.col("text"), end + 1, F.length("text"))
-    changed = ordered.withColumn("_text", F.concat(F.array_join(F.transform("_spans", piece), ""), tail))
-    out = {"text": F.col("_text"), "n_chars": F.length("_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    changed = changed.select(*[out.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
-    return keyed.where("NOT _hit").select(*[F.col(f"`{c}`") for c in docs.columns]).union(changed)
+        before = F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
+        label = F.coalesce(*[F.when(s["kind"] == kind, F.lit(name)) for kind, name in LABELS.items()])
+        return F.concat(F.substr(text, before + 1, s["start"] - before), label)
+
+    tail = F.substr(text, F.element_at("spans", -1)["end"] + 1, F.length(text))
+    cleaned = hit.withColumn("clean", F.concat(F.array_join(F.transform("spans", piece), ""), tail))
+    out = {"text": F.col("clean"), "n_chars": F.length("clean").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    changed = cleaned.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    return rows.where("NOT hit").select("row.*").union(changed)
 
 
 def op3_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
