@@ -8,15 +8,17 @@ is among the best of its block.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewise.config import HISTORY_FEATURES, TOP_K, TextOptions
+from casewise.config import HISTORY_FEATURES, TOP_K, CasewiseError, TextOptions
 from casewise.functions.labels import history_priority
 from casewise.functions.numbers import percent, round_exact
 from casewise.functions.text import strip, stripped_or_blank
@@ -32,13 +34,15 @@ from casewise.operators.tfidf import (
 )
 from casewise.session import materialize
 
-# Query vectors a broadcast may carry; more queries go through the block grid.
-MAX_BROADCAST_QUERIES = 20_000
+# Bytes of query vectors a broadcast may carry; more go through the block grid.
+MAX_BROADCAST_BYTES = 64 << 20
+# The key that tells cases apart, whatever their ids; rows get one where they have none.
+CASE_KEY = "case_key"
 # Size of one cell of the block grid.
 GRID_HISTORY_ROWS = 20_000
 GRID_QUERY_ROWS = 5_000
 
-_MATCH_SCHEMA = "id string, history_id string, number bigint, signature string, score double"
+_MATCH_SCHEMA = "case_key bigint, history_key bigint, history_id string, number bigint, signature string, score double"
 
 
 def known_macros(records: DataFrame) -> DataFrame:
@@ -63,7 +67,10 @@ def retrieval_scope(queries: DataFrame, macros: DataFrame, restrict_to_macro: bo
 
 
 def history_table(records: DataFrame, options: TextOptions | None = None) -> DataFrame:
-    """The usable history: processed text, and a signature equal for repeated cases."""
+    """The usable history: processed text, what a match shows, and a signature equal for repeated cases.
+
+    Records are told apart by ``history_key``, not by their ids, which may repeat or be null.
+    """
     options = options or TextOptions()
     usable = modeling_table(records, options)
     signature = F.concat(
@@ -75,6 +82,10 @@ def history_table(records: DataFrame, options: TextOptions | None = None) -> Dat
         F.md5(signature).alias("signature"),
         macro_scope(F.col("classe_macro")).alias("scope"),
         F.col(options.processed_column).alias("processed"),
+        F.monotonically_increasing_id().alias("history_key"),
+        F.col(options.original_column).alias("text"),
+        F.col("classe_macro").alias("macro_class"),
+        F.col("classe_detalhada").alias("detailed_class"),
     )
 
 
@@ -85,16 +96,16 @@ def fit_history(history: DataFrame, max_features: int = HISTORY_FEATURES) -> Dat
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """Merge the block results: one row per repeated case, then the first ``k`` per query."""
-    first = [F.desc("score"), F.asc("number"), F.asc("history_id")]
-    copies = Window.partitionBy("id", "signature").orderBy(*first)
-    place = Window.partitionBy("id").orderBy(*first)
+    first = [F.desc("score"), F.asc("number"), F.asc("history_id"), F.asc("signature")]
+    copies = Window.partitionBy(CASE_KEY, "signature").orderBy(*first)
+    place = Window.partitionBy(CASE_KEY).orderBy(*first)
     return (
-        found.repartition("id")
+        found.repartition(CASE_KEY)
         .withColumn("copy", F.row_number().over(copies))
         .where(F.col("copy") == 1)
         .withColumn("rank", F.row_number().over(place))
         .where(F.col("rank") <= k)
-        .select("id", "rank", "history_id", "score")
+        .select(CASE_KEY, "rank", "history_key", "history_id", "score")
     )
 
 
@@ -109,7 +120,7 @@ def _match_broadcast(queries: DataFrame, history: DataFrame, k: int) -> DataFram
                 if scope in carried.value:
                     yield _match_block(cases, carried.value[scope], k)
 
-    columns = ["scope", "history_id", "number", "signature", "idx", "weight"]
+    columns = ["scope", "history_key", "history_id", "number", "signature", "idx", "weight"]
     return history.select(*columns).mapInPandas(match, _MATCH_SCHEMA)
 
 
@@ -132,12 +143,12 @@ def _match_grid(queries: DataFrame, history: DataFrame, vocabulary: DataFrame, k
     cells = ["scope", "row_part", "query_part"]
     cut_history = (
         history.join(grid, "scope")
-        .withColumn("row_part", part("history_id", "rows_parts"))
+        .withColumn("row_part", part("history_key", "rows_parts"))
         .withColumn("query_part", every("query_parts"))
     )
     cut_queries = (
         queries.join(grid, "scope")
-        .withColumn("query_part", part("id", "query_parts"))
+        .withColumn("query_part", part(CASE_KEY, "query_parts"))
         .withColumn("row_part", every("rows_parts"))
     )
 
@@ -146,8 +157,8 @@ def _match_grid(queries: DataFrame, history: DataFrame, vocabulary: DataFrame, k
             return _no_match()
         return _match_block(cases, _QueryBlock(asked), k)
 
-    left = cut_history.select(*cells, "history_id", "number", "signature", "idx", "weight").groupBy(*cells)
-    right = cut_queries.select(*cells, "id", "idx", "weight").groupBy(*cells)
+    left = cut_history.select(*cells, "history_key", "history_id", "number", "signature", "idx", "weight").groupBy(*cells)
+    right = cut_queries.select(*cells, CASE_KEY, "idx", "weight").groupBy(*cells)
     return left.cogroup(right).applyInPandas(match, _MATCH_SCHEMA)
 
 
@@ -155,7 +166,7 @@ class _QueryBlock:
     """Query vectors of one scope."""
 
     def __init__(self, queries: pd.DataFrame):
-        self.ids = queries["id"].tolist()
+        self.keys = queries[CASE_KEY].to_numpy()
         self.vectors = [
             (np.asarray(idx, dtype=np.int64), np.asarray(weight, dtype=np.float64))
             for idx, weight in zip(queries["idx"], queries["weight"])
@@ -167,7 +178,7 @@ class _QueryBlock:
 
 
 def _no_match() -> pd.DataFrame:
-    return pd.DataFrame({"id": [], "history_id": [], "number": [], "signature": [], "score": []})
+    return pd.DataFrame({name: [] for name in (CASE_KEY, "history_key", "history_id", "number", "signature", "score")})
 
 
 def _match_block(cases: pd.DataFrame, queries: _QueryBlock, k: int) -> pd.DataFrame:
@@ -175,7 +186,7 @@ def _match_block(cases: pd.DataFrame, queries: _QueryBlock, k: int) -> pd.DataFr
 
     Cases are put in record order first, so among equal scores a lower row number wins.
     """
-    cases = cases.sort_values(["number", "history_id"], kind="stable").drop_duplicates("signature")
+    cases = cases.sort_values(["number", "history_id", "signature"], kind="stable", na_position="first").drop_duplicates("signature")
     rows = len(cases)
     lengths = cases["idx"].str.len().to_numpy()
     flat_terms = np.concatenate([np.asarray(idx, dtype=np.int64) for idx in cases["idx"]])
@@ -207,7 +218,8 @@ def _match_block(cases: pd.DataFrame, queries: _QueryBlock, k: int) -> pd.DataFr
     taken = cases.iloc[rows_taken]
     return pd.DataFrame(
         {
-            "id": np.asarray(queries.ids, dtype=object)[np.concatenate(query_at)],
+            CASE_KEY: queries.keys[np.concatenate(query_at)],
+            "history_key": taken["history_key"].to_numpy(),
             "history_id": taken["history_id"].to_numpy(),
             "number": taken["number"].to_numpy(),
             "signature": taken["signature"].to_numpy(),
@@ -237,16 +249,17 @@ def similar_cases(
     options: TextOptions | None = None,
     restrict_to_macro: bool = True,
     max_features: int = HISTORY_FEATURES,
-    max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
 ) -> DataFrame:
     """Similar past cases of each query, one row per case.
 
     ``queries`` has id, texto and macro (the predicted class). Queries that are blank, before or
-    after preprocessing, and scopes without usable history give no rows.
+    after preprocessing, and scopes without usable history give no rows. Queries that share an id,
+    or have none, are searched each on its own.
     """
     options = options or TextOptions()
     index = HistoryIndex.build(records, options, max_features)
-    return index.search(queries, k, restrict_to_macro, max_broadcast_queries)
+    return index.search(queries, k, restrict_to_macro, max_broadcast_bytes).drop(CASE_KEY)
 
 
 class HistoryIndex:
@@ -257,9 +270,8 @@ class HistoryIndex:
     """
 
     def __init__(
-        self, records: DataFrame, history: DataFrame, vocabulary: DataFrame, macros: DataFrame, options: TextOptions
+        self, history: DataFrame, vocabulary: DataFrame, macros: DataFrame, options: TextOptions
     ):
-        self.records = records
         self.history = history
         self.vocabulary = vocabulary
         self.macros = macros
@@ -272,48 +284,80 @@ class HistoryIndex:
         options = options or TextOptions()
         history = materialize(history_table(records, options), "history")
         vocabulary = materialize(fit_history(history, max_features), "history-vocabulary")
-        return cls(records, history, vocabulary, known_macros(records), options)
+        return cls(history, vocabulary, known_macros(records), options)
+
+    def save(self, folder: str) -> None:
+        """Write the history, its vocabulary and its options, to be searched by :meth:`load` without the records."""
+        root = folder.rstrip("/")
+        self.history.write.mode("errorifexists").parquet(f"{root}/history")
+        self.vocabulary.write.mode("errorifexists").parquet(f"{root}/vocabulary")
+        self.macros.write.mode("errorifexists").parquet(f"{root}/macros")
+        document = json.dumps(self.options.to_dict(), ensure_ascii=False)
+        options = self.history.sparkSession.createDataFrame([(document,)], "document string")
+        options.write.mode("errorifexists").parquet(f"{root}/options")  # written last: it marks a complete index
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> "HistoryIndex":
+        root = folder.rstrip("/")
+        try:
+            document = spark.read.parquet(f"{root}/options").first()["document"]
+        except AnalysisException as error:
+            raise CasewiseError(f"O histórico ainda não foi gerado em '{folder}'.") from error
+        history, vocabulary, macros = (spark.read.parquet(f"{root}/{part}") for part in ("history", "vocabulary", "macros"))
+        return cls(history, vocabulary, macros, TextOptions.from_dict(json.loads(document)))
 
     @cached_property
     def _space(self) -> TermSpace | None:
         return TermSpace(self.vocabulary) if self.vocabulary.count() <= MAX_ENTRIES else None
 
-    def _vectors(self, docs: DataFrame, id_column: str) -> DataFrame:
+    def _vectors(self, docs: DataFrame) -> DataFrame:
         rows = with_terms(docs, "processed").drop("processed")
         if self._space is not None:
             return self._space.vectorize(rows).drop("terms")
-        return vectorize(rows, self.vocabulary, id_column, max_entries=0).drop("terms")
+        return vectorize(rows, self.vocabulary, max_entries=0).drop("terms")
+
+    def prepare(self) -> None:
+        """Make the vectors of both scopes now, for searches that follow."""
+        _ = self._space, self._macro_vectors, self._all_vectors
+
+    @property
+    def _cases(self) -> DataFrame:
+        return self.history.drop("text", "macro_class", "detailed_class")
 
     @cached_property
     def _macro_vectors(self) -> DataFrame:
-        return materialize(self._vectors(self.history, "history_id"), "history-vectors", partition_by="scope")
+        return materialize(self._vectors(self._cases), "history-vectors", partition_by="scope")
 
     @cached_property
     def _all_vectors(self) -> DataFrame:
         """Vectors of the global scope, made when the first query asks for them."""
-        everything = self.history.withColumn("scope", F.lit(EVERYTHING))
-        return materialize(self._vectors(everything, "history_id"), "history-vectors-all")
+        everything = self._cases.withColumn("scope", F.lit(EVERYTHING))
+        return materialize(self._vectors(everything), "history-vectors-all")
 
-    def match(self, queries: DataFrame, k: int = TOP_K, max_broadcast_queries: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-        """Best ``k`` distinct history cases per query, as (id, rank, history_id, score).
+    def match(self, queries: DataFrame, k: int = TOP_K, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+        """Best ``k`` distinct history cases per query, as (case_key, rank, history_key, history_id, score).
 
-        ``queries`` has id, scope (``macro``/``global``), macro and processed. Cases with no term in
+        ``queries`` has case_key, scope (``macro``/``global``), macro and processed. Cases with no term in
         common count with score 0, so a query gets ``min(k, distinct cases in scope)`` rows.
         """
         in_macro = F.col("scope") == "macro"
         scoped = queries.select(
-            "id",
+            CASE_KEY,
             F.when(in_macro, macro_scope(stripped_or_blank(F.col("macro")))).otherwise(F.lit(EVERYTHING)).alias("scope"),
             "processed",
         )
-        asked = materialize(self._vectors(scoped, "id"), "query-vectors")
+        asked = materialize(self._vectors(scoped), "query-vectors")
         scopes = materialize(asked.select("scope").distinct(), "query-scopes")
-        cases = self._macro_vectors
-        if not scopes.where(F.col("scope") == EVERYTHING).isEmpty():
-            cases = cases.unionByName(self._all_vectors)
-        # Only the partitions of the scopes asked for are read.
+        # Only the vectors, and only the partitions, of the scopes asked for are made and read.
+        everywhere = F.col("scope") == EVERYTHING
+        of = scopes.agg(F.max(everywhere).alias("all"), F.max(~everywhere).alias("own")).first()
+        parts = [self._all_vectors] if of["all"] else []
+        if of["own"] or not parts:
+            parts.append(self._macro_vectors)
+        cases = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
         cases = cases.join(scopes, "scope", "left_semi")
-        if asked.count() <= max_broadcast_queries:
+        size = asked.agg(F.sum(F.size("idx") * 12 + 64)).first()[0] or 0
+        if size <= max_broadcast_bytes:
             found = _match_broadcast(asked, cases, k)
         else:
             found = _match_grid(asked, cases, self.vocabulary, k)
@@ -324,37 +368,39 @@ class HistoryIndex:
         queries: DataFrame,
         k: int = TOP_K,
         restrict_to_macro: bool = True,
-        max_broadcast_queries: int = MAX_BROADCAST_QUERIES,
+        max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     ) -> DataFrame:
-        """Similar past cases of each query (id, texto, macro), one row per case."""
+        """Similar past cases of each query (id, texto, macro), one row per case.
+
+        A query is known by its ``case_key`` where it brings one, else by its row.
+        """
         options = self.options
-        scoped = retrieval_scope(queries.select("id", "texto", "macro"), self.macros, restrict_to_macro)
+        key = F.col(CASE_KEY) if CASE_KEY in queries.columns else F.monotonically_increasing_id()
+        keyed = queries.select("id", "texto", "macro", key.cast("bigint").alias(CASE_KEY))
+        scoped = retrieval_scope(keyed, self.macros, restrict_to_macro)
         asked = (
             prepare_texts(scoped.withColumnRenamed("texto", options.source_column), options)
-            .select("id", "scope", "macro", F.col(options.processed_column).alias("processed"))
+            .select("id", CASE_KEY, "scope", "macro", F.col(options.processed_column).alias("processed"))
             .where(F.col("processed") != "")
         )
         asked = materialize(asked, "queries")
-        matches = self.match(asked, k, max_broadcast_queries).join(asked.select("id", "scope"), "id")
-        return describe_matches(materialize(matches, "matches"), self.records)
+        matches = self.match(asked, k, max_broadcast_bytes).join(asked.select("id", CASE_KEY, "scope"), CASE_KEY)
+        return describe_matches(materialize(matches, "matches"), self.history)
 
 
-def describe_matches(matches: DataFrame, records: DataFrame) -> DataFrame:
-    """Join the matched cases to their texts.
+def describe_matches(matches: DataFrame, history: DataFrame) -> DataFrame:
+    """Join the matched cases to their texts, by the key of the history's row.
 
-    The written matches are small next to the history, so Catalyst broadcasts them when their
-    size allows and the texts of the history stay where they are.
+    The written matches are small next to the history. The texts are first reduced to the keys that
+    were matched, so no more than those is shuffled when the matches are too many to broadcast.
     """
-    texts = records.select(
-        F.col("id_registro").alias("history_id"),
-        F.coalesce("texto", F.lit("")).alias("text"),
-        stripped_or_blank(F.col("classe_macro")).alias("macro_class"),
-        stripped_or_blank(F.col("classe_detalhada")).alias("detailed_class"),
-    )
-    described = matches.join(texts, "history_id")
+    texts = history.select("history_key", "text", "macro_class", "detailed_class")
+    texts = texts.join(matches.select("history_key").distinct(), "history_key", "left_semi")
+    described = matches.join(texts, "history_key")
     similarity = round_exact(F.col("score"), 4)
     return described.select(
         "id",
+        CASE_KEY,
         "scope",
         "rank",
         "history_id",
@@ -367,7 +413,10 @@ def describe_matches(matches: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def few_shot_examples(cases: DataFrame) -> DataFrame:
-    """Similar cases as one ordered array of few-shot structs per query (at most ``k`` each)."""
+    """Similar cases as one ordered array of few-shot structs per query (at most ``k`` each).
+
+    Queries are told apart by ``case_key`` where there is one, else by id.
+    """
     example = F.struct(
         "rank",
         "text",
@@ -383,7 +432,8 @@ def few_shot_examples(cases: DataFrame) -> DataFrame:
         "similarity",
         "similarity_percent",
     )
-    return cases.groupBy("id").agg(
+    keys = ["id", CASE_KEY] if CASE_KEY in cases.columns else ["id"]
+    return cases.groupBy(*keys).agg(
         F.first("scope").alias("scope"),
         F.count(F.lit(1)).alias("used_count"),
         F.sort_array(F.collect_list(example)).alias("few_shot_examples"),

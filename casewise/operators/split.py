@@ -13,6 +13,9 @@ from casewise.functions.numbers import balanced_weight
 from casewise.session import materialize
 
 
+_ROW = "_row_key"
+
+
 @dataclass
 class Split:
     """The modelling table with a ``split`` column, and how it came about."""
@@ -76,11 +79,13 @@ def train_test_split(
 ) -> Split:
     """Put the records with the smallest id hashes of each class into the test set.
 
-    Each class gets an exact quota without ever being sorted as a whole: a histogram over hash
-    prefixes finds the prefix at which the quota is reached, only the records of that prefix are
-    ranked, and the hash found there is compared row by row. Records sharing an id stay on the
-    same side. ``modeling`` should be a written table, it is read three times.
+    Each class gets an exact quota without ever being sorted as a whole: histograms over ever longer
+    prefixes of the hash find the place at which the quota is reached, only the records of that place are
+    ranked, and the key found there is compared row by row. A hash of the whole record and a row key stand
+    behind the id's hash, so records that share an id, or have none, are split one by one and
+    the sizes are those reported. ``modeling`` may be any table; it is written with its keys first.
     """
+    modeling = materialize(modeling.withColumn(_ROW, F.monotonically_increasing_id()), "split-rows")
     sizes = class_sizes(modeling, target)
     check_trainable(sizes)
     total = sum(sizes.values())
@@ -90,36 +95,50 @@ def train_test_split(
         group, quotas = F.col(target), test_quotas(sizes, test_rows)
     else:
         group, quotas = F.lit("all"), {"all": test_rows}
-    hashed = modeling.withColumns({"_group": group, "_hash": split_hash(seed)})
+    others = [F.coalesce(F.col(name).cast("string"), F.lit("")) for name in sorted(modeling.columns) if name != _ROW]
+    content = F.md5(F.concat_ws("\u001f", F.lit(str(seed)), *others, F.col(_ROW)))
+    hashed = modeling.withColumns({"_group": group, "_hash": F.coalesce(split_hash(seed), F.lit("")), "_content": content})
     bounds = materialize(_quota_bounds(hashed, quotas), "split-bounds")
+    inside = F.struct("_hash", "_content", _ROW) <= F.col("_bound")
     table = (
         hashed.join(bounds, "_group", "left")
-        .withColumn("split", F.when(F.col("_hash") <= F.col("_bound"), "test").otherwise("train"))
-        .drop("_group", "_hash", "_bound")
+        .withColumn("split", F.when(inside, "test").otherwise("train"))
+        .drop("_group", "_hash", "_content", "_bound", _ROW)
     )
     return Split(table, total - test_rows, test_rows, warning is None, [warning] if warning else [])
 
 
 def _quota_bounds(hashed: DataFrame, quotas: dict[str, int]) -> DataFrame:
-    """The largest hash inside the quota of each group, as (_group, _bound)."""
+    """The largest key inside the quota of each group, as (_group, _bound).
+
+    A step counts the rows of each value of the next part of the key, and keeps those of the one value at
+    which the quota is reached. Many different hashes share their first four characters with few others;
+    rows with one and the same hash are told apart by the record's hash.
+    """
     spark = hashed.sparkSession
-    wanted = spark.createDataFrame(sorted(quotas.items()), "_group string, _quota bigint")
-    prefixed = hashed.select("_group", "_hash", F.substring("_hash", 1, 4).alias("_prefix"))
-    upto = Window.partitionBy("_group").orderBy("_prefix")
-    reached = (
-        prefixed.groupBy("_group", "_prefix")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_before", F.sum("_rows").over(upto) - F.col("_rows"))
-        .join(wanted, "_group")
-        .where((F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_rows") >= F.col("_quota")))
-        .select("_group", "_prefix", (F.col("_quota") - F.col("_before")).alias("_left"))
-    )
-    edge = prefixed.join(materialize(reached, "split-prefixes"), ["_group", "_prefix"])
-    place = F.row_number().over(Window.partitionBy("_group").orderBy("_hash"))
+    left = spark.createDataFrame(sorted(quotas.items()), "_group string, _left bigint").where("_left > 0")
+    steps = (F.substring("_hash", 1, 4), F.col("_hash"), F.substring("_content", 1, 4))
+    rows = hashed.select("_group", "_hash", "_content", _ROW)
+    for at, step in enumerate(steps):
+        keyed = rows.withColumn("_part", step)
+        upto = Window.partitionBy("_group").orderBy("_part")
+        reached = (
+            keyed.groupBy("_group", "_part")
+            .agg(F.count(F.lit(1)).alias("_rows"))
+            .withColumn("_before", F.sum("_rows").over(upto) - F.col("_rows"))
+            .join(left, "_group")
+            .where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_rows") >= F.col("_left")))
+            .select("_group", "_part", (F.col("_left") - F.col("_before")).alias("_left"))
+        )
+        reached = materialize(reached, f"split-part-{at}")
+        rows = keyed.join(reached.select("_group", "_part"), ["_group", "_part"]).drop("_part")
+        left = reached.drop("_part")
+    place = F.row_number().over(Window.partitionBy("_group").orderBy("_hash", "_content", _ROW))
     return (
-        edge.withColumn("_place", place)
+        rows.withColumn("_place", place)
+        .join(left, "_group")
         .where(F.col("_place") == F.col("_left"))
-        .select("_group", F.col("_hash").alias("_bound"))
+        .select("_group", F.struct("_hash", "_content", _ROW).alias("_bound"))
     )
 
 

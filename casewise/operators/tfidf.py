@@ -16,11 +16,13 @@ from pyspark.sql import types as ST
 
 from casewise.functions.text import WORD
 from casewise.functions.unicode import strip_accents
+from casewise.session import materialize
 
 EVERYTHING = "all"
 _KEY = "\u001f"
 _NEXT = "\u001e"
 _DOCUMENT = ""
+_ROW = "_row_key"
 
 # Vocabulary entries the driver may hold; larger vocabularies are joined instead.
 MAX_ENTRIES = 500_000
@@ -196,27 +198,24 @@ class TermSpace:
 
 
 def vectorize(
-    docs: DataFrame, vocabulary: DataFrame, id_column: str = "id", sublinear: bool = True,
-    max_entries: int = MAX_ENTRIES,
+    docs: DataFrame, vocabulary: DataFrame, sublinear: bool = True, max_entries: int = MAX_ENTRIES
 ) -> DataFrame:
     """Sparse vectors of ``docs``, by lookup for a vocabulary of bounded size, else by join.
 
-    ``vocabulary`` should be a written table: it is counted, then read again.
-    """
+    ``vocabulary`` should be a written table: it is counted, then read again. Both ways give every row
+    its own vector: the join goes by a row key of its own, so ids may repeat or be null.
+    """
     if vocabulary.count() <= max_entries:
         return TermSpace(vocabulary).vectorize(docs, sublinear)
-    long = weights_long(docs, vocabulary, id_column, sublinear)
-    vectors = long.groupBy(id_column, "scope").agg(
+    columns = docs.columns
+    docs = materialize(docs.withColumn(_ROW, F.monotonically_increasing_id()), "vector-rows")
+    long = weights_long(docs, vocabulary, _ROW, sublinear)
+    vectors = long.groupBy(_ROW).agg(
         F.sort_array(F.collect_list(F.struct((F.col("place") - 1).alias("place"), "weight"))).alias("_raw")
     )
     empty = F.array().cast("array<struct<place:int,weight:double>>")
-    return (
-        docs.join(vectors, [id_column, "scope"], "left")
-        .withColumn("_raw", F.coalesce("_raw", empty))
-        .withColumn("idx", F.col("_raw.place"))
-        .withColumn("weight", F.col("_raw.weight"))
-        .drop("_raw")
-    )
+    raw = F.coalesce("_raw", empty)
+    return docs.join(vectors, _ROW, "left").select(*columns, raw["place"].alias("idx"), raw["weight"].alias("weight"))
 
 
 def explode_vectors(vectors: DataFrame, id_column: str = "id") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,6 +50,23 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/casewise/{label}-{uuid.uuid4().hex}"
 
 
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that :func:`materialize` writes inside the block."""
+    written: list[str] = []
+    _SCOPES.append(written)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(written)
+        for path in written:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -57,6 +76,8 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     writer = df.write.mode("errorifexists")
     if partition_by:
         writer = writer.partitionBy(partition_by)

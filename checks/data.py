@@ -54,9 +54,8 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """User turns as new cases: id, texto, canal_origem."""
-    turns = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    return turns.select(
+    """All turns as new cases: id, texto, canal_origem."""
+    return table(spark, sf_dir, "conversations").select(
         F.concat_ws("-", F.col("conv_id"), F.col("turn")).alias("id"),
         F.col("text").alias("texto"),
         F.col("role").alias("canal_origem"),

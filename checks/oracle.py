@@ -159,7 +159,7 @@ CTES = {
         SELECT * FROM labelled WHERE classe_macro <> '' AND classe_detalhada <> '' AND processed <> ''""",
     "cases": """
         SELECT conv_id || '-' || turn AS id, text AS texto, role AS canal_origem
-        FROM conversations WHERE role = 'user'""",
+        FROM conversations""",
     "cases_prepared": f"""
         SELECT *, {joined('tokens')} AS processed
         FROM (SELECT *, {bare(lowered(tokens(clean(lines(blank('texto'))))))} AS tokens FROM cases)""",
@@ -561,10 +561,16 @@ def oracle_sql() -> dict[str, str]:
     # split and evaluation
     out["stratified_split"] = _sql("SELECT id_registro, classe_macro, split FROM split")
     out["split_guards"] = _sql(
-        """SELECT sum(c) AS registros, count(*) AS classes, min(c) AS menor_classe,
-                  CAST(ceil(sum(c) * CAST(0.2 AS DOUBLE)) AS BIGINT) AS teste,
-                  min(c) >= 2 AND ceil(sum(c) * CAST(0.2 AS DOUBLE)) >= count(*) AS stratified
-           FROM (SELECT classe_macro, count(*) AS c FROM modeling GROUP BY 1)"""
+        """SELECT canal, sum(c)::BIGINT AS registros, count(*) AS classes, CASE
+                  WHEN sum(c) < 6 THEN 'São necessários ao menos 6 registros válidos para treinar o baseline hierárquico.'
+                  WHEN count(*) < 2 THEN 'O nível macro exige pelo menos duas classes distintas para treinamento.'
+                  WHEN min(c) < 2 THEN 'Nem todas as classes macro possuem ao menos 2 exemplos. O split foi feito sem estratificação.'
+                  WHEN ceil(sum(c) * CAST(0.2 AS DOUBLE)) < count(*) THEN 'O conjunto de teste seria menor que o número de '
+                      || 'macroclasses. O split foi ajustado sem estratificação.'
+                  ELSE 'estratificado' END AS resultado
+           FROM (SELECT canal_origem AS canal, classe_macro, count(*) AS c FROM modeling GROUP BY ALL
+                 UNION ALL SELECT 'todos', classe_macro, count(*) FROM modeling GROUP BY ALL)
+           GROUP BY 1"""
     )
     out["class_weights"] = _sql(
         f"""SELECT classe_macro AS label, count(*) AS n_class,
@@ -740,16 +746,21 @@ def oracle_sql() -> dict[str, str]:
     out["csv_scan"] = _sql(f"SELECT {', '.join(missing(name) for name in REQUIRED_COLUMNS)} FROM records")
     out["land_batch"] = _sql(f"SELECT {cols}, 'upload' AS source, 'first' AS batch FROM records")
     out["latest_batch"] = _sql(
-        f"SELECT {cols} FROM records WHERE canal_origem = (SELECT max(canal_origem) FROM records)"
+        f"""SELECT {cols}, '007' AS batch FROM records
+            WHERE classe_macro IS NULL OR classe_macro NOT IN ('de', 'es', 'fr')"""
     )
+    stats = ("avg_chars", "avg_words", "shortest_size", "longest_size", "shortest_preview", "longest_preview")
     out["eda_report"] = _sql(
         " UNION ALL ".join(
             [
-                f"SELECT 'macro' AS section, label, value FROM ({out['dist_macro']})",
-                f"SELECT 'channel', label, value FROM ({out['dist_channel']})",
-                f"SELECT 'detailed_top', label, value FROM ({out['dist_detailed_top']})",
-                f"SELECT 'overview', indicador, valor FROM ({out['overview']})",
-                f"SELECT 'dataset', columns, row_count FROM ({out['dataset_summary']})",
+                f"SELECT 'macro' AS section, label, value::VARCHAR AS value FROM ({out['dist_macro']})",
+                f"SELECT 'channel', label, value::VARCHAR FROM ({out['dist_channel']})",
+                f"SELECT 'detailed_top', label, value::VARCHAR FROM ({out['dist_detailed_top']})",
+                f"SELECT 'overview', indicador, valor::VARCHAR FROM ({out['overview']})",
+                f"SELECT 'dataset', columns, row_count::VARCHAR FROM ({out['dataset_summary']})",
+                *[f"SELECT 'text_stats', '{name}', {name}::VARCHAR FROM ({out['text_stats']})" for name in stats],
+                "SELECT 'examples_by_macro', macro_class || '|' || posicao || '|' || id_registro, md5(texto) "
+                f"FROM ({out['examples_by_macro']})",
             ]
         )
     )

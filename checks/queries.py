@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casewise.config import CasewiseError
 from casewise.functions import labels
 from casewise.functions import text as T
 from casewise.functions.numbers import percent, round_exact
@@ -331,16 +333,22 @@ def _stratified_split(spark, sf):
 
 @query("split_guards")
 def _split_guards(spark, sf):
-    sizes = modeling_table(data.records(spark, sf)).groupBy("classe_macro").agg(F.count(F.lit(1)).alias("c"))
-    total, smallest, classes = F.sum("c"), F.min("c"), F.count(F.lit(1))
-    test_rows = F.ceil(total * F.lit(0.2))
-    return sizes.agg(
-        total.alias("registros"),
-        classes.alias("classes"),
-        smallest.alias("menor_classe"),
-        test_rows.alias("teste"),
-        ((smallest >= 2) & (test_rows >= classes)).alias("stratified"),
-    )
+    """What the guards say of the whole table and of each channel alone, many of which are small."""
+    labelled = modeling_table(data.records(spark, sf)).select("canal_origem", "classe_macro")
+    every = labelled.withColumn("canal_origem", F.lit("todos")).unionByName(labelled)
+    sizes: dict[str, dict[str, int]] = {}
+    for row in every.groupBy("canal_origem", "classe_macro").count().collect():
+        sizes.setdefault(row["canal_origem"], {})[row["classe_macro"]] = row["count"]
+    rows = []
+    for channel, classes in sorted(sizes.items()):
+        total = sum(classes.values())
+        try:
+            split.check_trainable(classes)
+            outcome = split.stratification_warning(classes, math.ceil(total * 0.2)) or "estratificado"
+        except CasewiseError as error:
+            outcome = str(error)
+        rows.append((channel, total, len(classes), outcome))
+    return spark.createDataFrame(rows, "canal string, registros bigint, classes bigint, resultado string")
 
 
 @query("class_weights")
@@ -561,27 +569,41 @@ def _csv_scan(spark, sf):
 def _land_batch(spark, sf):
     landing = scratch_path(spark, "landing")
     source.land_batch(data.records(spark, sf), landing, "upload", "first")
-    return source.read_landing(spark, landing)
+    return source.read_landing(spark, landing).drop(source.ARRIVED)
 
 
 @query("latest_batch")
 def _latest_batch(spark, sf):
-    landed = data.records(spark, sf).withColumns({"source": F.lit("upload"), "batch": F.col("canal_origem")})
-    return source.latest_batch(landed, "upload").drop("source", "batch")
+    """One batch per language, named so that neither text nor number order is that of arrival."""
+    landing = scratch_path(spark, "landing")
+    records = data.records(spark, sf)
+    known = F.col("classe_macro").isin("de", "es", "fr")
+    for batch, rows in (
+        ("9", records.where(F.col("classe_macro") == "de")),
+        ("10", records.where(F.col("classe_macro").isin("es", "fr"))),
+        ("007", records.where(~F.coalesce(known, F.lit(False)))),
+    ):
+        source.land_batch(rows, landing, "upload", batch)
+    return source.latest_batch(source.read_landing(spark, landing), "upload").drop("source")
 
 
 @query("eda_report")
 def _eda_report(spark, sf):
     report = eda_report(data.records(spark, sf))
-    sections = [
-        report[name].select(F.lit(name).alias("section"), "label", "value")
-        for name in ("macro", "channel", "detailed_top")
-    ]
-    sections.append(report["overview"].select(F.lit("overview").alias("section"), F.col("indicador").alias("label"), F.col("valor").alias("value")))
-    sections.append(report["dataset"].select(F.lit("dataset").alias("section"), F.col("columns").alias("label"), F.col("row_count").alias("value")))
+
+    def section(name, label, value):
+        return report[name].select(F.lit(name).alias("section"), label.alias("label"), value.cast("string").alias("value"))
+
+    stats = report["text_stats"]
+    sections = [section(name, F.col("label"), F.col("value")) for name in ("macro", "channel", "detailed_top")]
+    sections.append(section("overview", F.col("indicador"), F.col("valor")))
+    sections.append(section("dataset", F.col("columns"), F.col("row_count")))
+    sections += [section("text_stats", F.lit(name), F.col(name)) for name in stats.columns]
+    place = F.concat_ws("|", "macro_class", F.col("posicao").cast("string"), "id_registro")
+    sections.append(section("examples_by_macro", place, F.md5(F.col("texto"))))
     combined = sections[0]
-    for section in sections[1:]:
-        combined = combined.unionByName(section)
+    for part in sections[1:]:
+        combined = combined.unionByName(part)
     return combined
 
 
@@ -647,7 +669,7 @@ def _train_job(spark, sf):
 def _model_store(spark, sf):
     """Test texts predicted again by the model as stored and loaded."""
     trained = _trained(spark, sf)
-    loaded, _ = model_store.load_model(spark, trained.paths["metadata"].rsplit("/", 1)[0])
+    loaded, _ = model_store.load_model(spark, trained.paths["metadata"].rsplit("/versions/", 1)[0])
     rows = trained.split.test.withColumn("id", F.col("id_registro"))
     return loaded.predict_macro(rows, "macro", "confidence").select("id", "macro", "confidence")
 
@@ -674,6 +696,7 @@ def _score_stream(spark, sf):
     arriving.write.parquet(landed)
     stream = spark.readStream.schema(arriving.schema).parquet(landed)
     index = similar.HistoryIndex.build(data.records(spark, sf))
-    running = score_stream(stream, _trained(spark, sf).model, index, target, scratch_path(spark, "stream-checkpoint"))
+    checkpoint = scratch_path(spark, "stream-checkpoint")
+    running = score_stream(stream, _trained(spark, sf).model, index, target, checkpoint, keywords=data.DETAIL_KEYWORDS)
     running.awaitTermination()
     return _scored_columns(spark.read.parquet(f"{target}/scored"))

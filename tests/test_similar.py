@@ -127,7 +127,7 @@ def test_top_k_equals_brute_force(spark, make_records, crowd, way, monkeypatch):
     monkeypatch.setattr(similar, "GRID_QUERY_ROWS", 8)
     found = similar.similar_cases(
         ask(spark, *queries), make_records(history).repartition(5), k=4, max_features=60,
-        max_broadcast_queries=1000 if way == "broadcast" else 0,
+        max_broadcast_bytes=1 << 20 if way == "broadcast" else 0,
     )
     got = {}
     for row in found.orderBy("id", "rank").collect():
@@ -149,6 +149,43 @@ def test_lookup_and_join_give_the_same_vectors(spark, crowd):
     assert joined == vectors(10_000) and joined["x"] == ([], [])
 
 
+def test_rows_with_one_id_or_none_keep_their_own_vectors(spark):
+    rows = [("1", "all", ["a", "b"]), ("1", "all", ["c"]), (None, "all", ["a", "c", "c"]), (None, "all", ["q"])]
+    docs = spark.createDataFrame(rows, "id string, scope string, terms array<string>")
+    vocabulary = materialize(tfidf.fit_vocabulary(docs, 9), "test-vocabulary")
+
+    def vectors(limit):
+        found = tfidf.vectorize(docs, vocabulary, max_entries=limit).collect()
+        return sorted((r.id or "", r.terms, r.idx, [round(w, 9) for w in r.weight]) for r in found)
+
+    assert vectors(0) == vectors(100) and len(vectors(0)) == 4
+
+
+def test_repeated_and_null_ids_are_cases_of_their_own(spark):
+    from casewise.config import REQUIRED_COLUMNS
+
+    texts = ["boleto vencido hoje", "cobranca duplicada no cartao", "senha bloqueada", "boleto pago"]
+    ids = ["1", "1", None, None]
+    full = [(i, t, "email", "2026-04-04", "M", "D") for i, t in zip(ids, texts)]
+    records = spark.createDataFrame(full, ", ".join(f"{name} string" for name in REQUIRED_COLUMNS))
+    asked = ask(spark, ("q", "boleto vencido", "M"), ("q", "cobranca duplicada", "M"), (None, "senha", "M"))
+    found = similar.similar_cases(asked, records, k=4).collect()
+    assert len(found) == 12
+    firsts = sorted(r.text for r in found if r["rank"] == 1)
+    assert firsts == ["boleto vencido hoje", "cobranca duplicada no cartao", "senha bloqueada"]
+    assert all(len({r.text for r in found if r["rank"] == n}) >= 1 for n in range(1, 5))
+
+
+def test_saved_index_finds_the_same(spark, make_records, crowd, tmp_path):
+    history, queries = crowd
+    index = similar.HistoryIndex.build(make_records(history), max_features=60)
+    index.save(f"{tmp_path}/index")
+    again = similar.HistoryIndex.load(spark, f"{tmp_path}/index")
+    columns = ["id", "rank", "history_id", "similarity", "text"]
+    want, got = (sorted(map(tuple, i.search(ask(spark, *queries)).select(*columns).collect())) for i in (index, again))
+    assert got == want and again.options == index.options
+
+
 def test_vocabulary_counts(spark):
     docs = spark.createDataFrame(
         [("a", ["x", "x", "y"]), ("a", ["x"]), ("a", []), ("b", ["y"])], "scope string, terms array<string>"
@@ -166,7 +203,8 @@ def test_history_is_not_shuffled_for_few_queries(spark, make_records, crowd):
     history, queries = crowd
     records = make_records(history)
     index = similar.HistoryIndex.build(records)
-    asked = spark.createDataFrame([(q, "macro", m, t) for q, t, m in queries], "id string, scope string, macro string, processed string")
+    rows = [(at, "macro", m, t) for at, (_, t, m) in enumerate(queries)]
+    asked = spark.createDataFrame(rows, "case_key long, scope string, macro string, processed string")
     plan = index.match(asked)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("MapInPandas"):]
     assert "Exchange hashpartitioning" not in below
