@@ -198,10 +198,12 @@ def near_duplicate_classes(
     those of ASCII letters, digits and characters above 7F, with A-Z lowered; a shorter text is
     one shingle. ``class_texts`` counts the different texts of a class; ``kept`` marks the rows with the class's id.
 
-    Equal texts are one node from the start. Bands of BagMinHash signatures name candidate buckets. In
-    each bucket all texts are compared with its first one, whose links join most of it into one class. Then
-    every text outside the class of its bucket's first text is compared with all texts of the bucket that are
-    in other classes, so that no link is lost while pairs inside a class are never formed.
+    Equal texts are one node from the start. Bands of BagMinHash signatures name candidate buckets. First, each
+    text is compared with the most copied first text of all its buckets, which joins most of a group into one
+    class. Then only buckets that hold several classes are left. A text can be linked there only if enough
+    of its shingles occur in other texts that are left; that bound, which loses no link, drops texts
+    that share a passage or were edited too much. What stands outside the largest class of its bucket is compared
+    with all texts of the bucket that are in other classes, so pairs inside a class are never formed.
 
     A text without words is linked to equal texts only. A null text is a class of its own row id
     and always kept. Ids may be null; a class with null ids only has a null class_id. Repeated rows get equal
@@ -215,34 +217,43 @@ def near_duplicate_classes(
     signed = scratch.save(signed, "signatures")
 
     known = signed.where("content IS NOT NULL")
-    nodes = known.groupBy("content").agg(F.min("id").alias("id"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))
+    nodes = known.groupBy("content").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("shingles").alias("shingles"), F.first("bands").alias("bands")
+    )
     nodes = scratch.save(nodes, "nodes")
-    member = nodes.select("content", "shingles", F.explode("bands").alias("band"))
-    first = member.groupBy("band").agg(F.min(F.struct("content", "shingles")).alias("first"), F.count("*").alias("n"))
-    first = first.where("n > 1").select("band", "n", F.col("first.content").alias("a"), F.col("first.shingles").alias("a_shingles"))
-    first = scratch.save(first, "first")  # so that the join stands alone and Spark can split a large bucket
-    buckets = scratch.save(member.join(first, "band"), "buckets")
+    member = nodes.select("content", "copies", "shingles", F.explode("bands").alias("band"))
+    first = member.groupBy("band").agg(
+        F.max(F.struct("copies", "content", "shingles")).alias("first"), F.min("shingles").alias("least"), F.count("*").alias("n")
+    )
+    # Written, so that the join stands alone and Spark can split a large bucket.
+    first = scratch.save(first.where("n > 1").select("band", "first", "least"), "first")
+    buckets = scratch.save(member.join(first, "band").drop("copies"), "buckets")
+    bags = _make_bags(scratch, texts, nodes.select("content", "id").join(buckets.select("content").distinct(), "content"), k)
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _verify(scratch, texts, nodes, pairs, threshold, k)
+    def able(x: str, y: str):
+        return F.least(x, y) >= threshold * F.greatest(x, y)
 
-    able = F.least("a_shingles", "shingles") >= threshold * F.greatest("a_shingles", "shingles")
-    links = verified(buckets.where((F.col("a") != F.col("content")) & able).select("a", F.col("content").alias("b")))
+    leader = buckets.where((F.col("first.content") != F.col("content")) & able("first.shingles", "shingles"))
+    leader = leader.groupBy(F.col("content").alias("b")).agg(F.max("first")["content"].alias("a"))
+    links = _verify(scratch, leader.select("a", "b"), bags, threshold)
     groups = _classes(links, scratch)
 
-    # What the first comparison left apart.
-    wide = buckets.where("n > 2").select("band", "content", "shingles", "a")
-    named = wide.join(groups.withColumnRenamed("node", "content"), "content", "left")
-    named = named.join(groups.select(F.col("node").alias("a"), F.col("component").alias("a_class")), "a", "left")
-    named = named.select(
-        "band", "content", "shingles", F.coalesce("component", "content").alias("class"), F.coalesce("a_class", "a").alias("main")
-    )
-    named = scratch.save(named, "left")
-    apart = named.where("class != main").select("band", F.col("content").alias("a"), F.col("shingles").alias("a_shingles"), F.col("class").alias("a_class"))
-    once = (F.col("class") == F.col("main")) | (F.col("a") < F.col("content"))
-    pairs = apart.join(named, "band").where((F.col("a_class") != F.col("class")) & able & once)
-    more = verified(pairs.select("a", F.col("content").alias("b")))
-    if more.limit(1).count():
+    named = buckets.join(groups.withColumnRenamed("node", "content"), "content", "left")
+    named = scratch.save(named.select("band", "content", "shingles", "least", F.coalesce("component", "content").alias("class")), "named")
+    left = _in_mixed_buckets(scratch, named)
+    alone = _lone_weight(bags, left.select("content").distinct())
+    left = left.join(alone, "content", "left").withColumn("shared", F.col("shingles") - F.coalesce("alone", F.lit(0)))
+    # An overlap by the threshold is at least this part of both lengths together.
+    part = threshold / (1 + threshold)
+    partner = F.greatest(F.col("least"), F.ceil(F.col("shingles") * threshold - 1e-6))
+    left = scratch.save(left.where(F.col("shared") >= part * (F.col("shingles") + partner) - 1e-6), "able")
+    left = _in_mixed_buckets(scratch, left)
+    apart = left.where("class != main").select("band", *[F.col(c).alias(f"a_{c}") for c in ("content", "shingles", "class", "shared")])
+    once = (F.col("class") == F.col("main")) | (F.col("a_content") < F.col("content"))
+    enough = F.least("a_shared", "shared") >= part * (F.col("a_shingles") + F.col("shingles")) - 1e-6
+    pairs = apart.join(left, "band").where((F.col("a_class") != F.col("class")) & able("a_shingles", "shingles") & enough & once)
+    more = _verify(scratch, pairs.select(F.col("a_content").alias("a"), F.col("content").alias("b")).distinct(), bags, threshold)
+    if not more.isEmpty():
         groups = _classes(links.union(more), scratch)
 
     classed = nodes.join(groups.withColumnRenamed("node", "content"), "content", "left")
@@ -265,21 +276,54 @@ def _classes(links: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.save(connected_components(links, scratch), "components")
 
 
-def _verify(scratch: Scratch, texts: DataFrame, nodes: DataFrame, pairs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap by the threshold.
+def _in_mixed_buckets(scratch: Scratch, rows: DataFrame) -> DataFrame:
+    """The rows of buckets with more than one class, with the largest class of the bucket as ``main``."""
+    sizes = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("band").agg(F.max(F.struct("n", "class"))["class"].alias("main"), F.count("*").alias("classes"))
+    main = scratch.save(main.where("classes > 1").select("band", "main"), "mixed")
+    return scratch.save(rows.drop("main").join(main, "band"), "left")
+
 
-    Multisets are made anew from the texts of the pairs' documents alone: a bitmap of 8 MB keeps the
-    others out, and the joins that follow are exact.
+def _make_bags(scratch: Scratch, texts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(content, shingle, weight) of the texts of ``asked`` (content, id), each once.
+
+    A bitmap of 8 MB keeps the other texts from being shuffled; one text of each content is taken.
     """
-    pairs = scratch.save(pairs.distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("content")).union(pairs.select("b")).distinct().join(nodes.select("content", "id"), "content")
-    keys = asked.select(F.xxhash64("id", "content").alias("key"))
-    spark = pairs.sparkSession
-    bits = spark.sparkContext.broadcast(bitmap_of(keys, "key"))
+    keys = asked.select("content", F.xxhash64("id", "content").alias("key"))
+    bits = asked.sparkSession.sparkContext.broadcast(bitmap_of(keys, "key"))
     keyed = texts.select("content", "text", F.xxhash64("id", "content").alias("key")).where("content IS NOT NULL")
     bags = keyed.mapInArrow(_bags(bits, k), "content binary, shingle binary, weight binary")
-    bags = scratch.save(bags.dropDuplicates(["content"]), "bags")
-    side = lambda s: bags.select(F.col("content").alias(s), F.col("shingle").alias(f"{s}_shingle"), F.col("weight").alias(f"{s}_weight"))
+    return scratch.save(bags.dropDuplicates(["content"]), "bags")
+
+
+def _lone_weight(bags: DataFrame, contents: DataFrame) -> DataFrame:
+    """(content, alone): the weight of the shingles that no other of the ``contents`` has; none if there is none."""
+    rows = bags.join(contents, "content", "left_semi").mapInArrow(_unfold, "content binary, shingle long, weight long")
+    single = rows.groupBy("shingle").agg(F.count("*").alias("n"), F.min("content").alias("content"), F.min("weight").alias("weight"))
+    return single.where("n = 1").groupBy("content").agg(F.sum("weight").alias("alone"))
+
+
+def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of each bag."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            some = batch.slice(at, 256)
+            shingles = [np.frombuffer(x.as_buffer(), np.int64) for x in some.column("shingle")]
+            weights = [np.frombuffer(x.as_buffer(), np.uint32) for x in some.column("weight")]
+            owner = np.repeat(np.arange(some.num_rows), [len(x) for x in shingles])
+            yield pa.RecordBatch.from_arrays(
+                [some.column("content").take(pa.array(owner)), pa.array(np.concatenate(shingles)), pa.array(np.concatenate(weights).astype(np.int64))],
+                ["content", "shingle", "weight"],
+            )
+
+
+def _verify(scratch: Scratch, pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose multisets overlap by the threshold."""
+
+    def side(name: str) -> DataFrame:
+        return bags.select(F.col("content").alias(name), F.col("shingle").alias(f"{name}_shingle"), F.col("weight").alias(f"{name}_weight"))
+
+    pairs = scratch.save(pairs, "pairs")
     both = pairs.join(side("b"), "b").join(side("a"), "a")
     return scratch.save(both.mapInArrow(_overlap(threshold), "a binary, b binary"), "links")
 
