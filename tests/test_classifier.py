@@ -106,6 +106,36 @@ def test_scoring_by_join_equals_scoring_by_batch(spark):
     assert scored(10**6) == scored(0)
 
 
+def test_scoring_of_repeated_null_and_unknown_rows(spark):
+    models = {"m": LinearModel(["x", "y"], np.array([0.0, 0.1]), np.array([[1.0, 0.0], [0.0, 1.0]]))}
+    table = spark.createDataFrame([row for name, m in models.items() for row in m.rows(name)], LINEAR_SCHEMA)
+    rows = [("1", "m", [0], [1.0]), ("1", "m", [1], [1.0]), (None, "m", [0], [2.0]), ("2", "gone", [0], [1.0]), (None, None, [], [])]
+    df = spark.createDataFrame(rows, "id string, model string, idx array<int>, weight array<double>")
+
+    def scored(limit):
+        found = LinearScorer(table, limit).predict(df, "best", "sure").collect()
+        return sorted((str(r.id), str(r.best), None if r.sure is None else round(r.sure, 9)) for r in found)
+
+    assert scored(10**6) == scored(0)
+    assert [r[:2] for r in scored(0)] == [("1", "x"), ("1", "y"), ("2", "None"), ("None", "None"), ("None", "x")]
+
+
+def test_split_sizes_hold_for_repeated_and_null_ids(spark):
+    columns = "id_registro string, classe_macro string, texto string"
+    for ids in ([None] * 40, ["7"] * 40, [str(at % 3) for at in range(40)], [str(at) if at % 2 else None for at in range(40)]):
+        rows = [(i, "AB"[at % 2], f"t{at % 5}") for at, i in enumerate(ids)]
+        parts = split.train_test_split(spark.createDataFrame(rows, columns))
+        assert (parts.train.count(), parts.test.count()) == (32, 8) == (parts.train_size, parts.test_size)
+        assert {r["count"] for r in parts.test.groupBy("classe_macro").count().collect()} == {4}
+        assert parts.table.columns == ["id_registro", "classe_macro", "texto", "split"]
+
+
+def test_risk_message_without_classes(spark):
+    report = spark.createDataFrame([], "level string, label string, precision double, recall double, f1_score double, support bigint")
+    rows = evaluate.risk_classes(report).collect()
+    assert len(rows) == 1 and rows[0].label is None and rows[0].risk_pattern.startswith("A amostra avaliada foi pequena")
+
+
 def test_evaluation_by_hand(spark):
     pairs = [("a", "a"), ("a", "a"), ("a", "b"), ("b", "b"), ("c", "x")]
     df = spark.createDataFrame(

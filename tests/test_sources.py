@@ -57,6 +57,42 @@ def test_landing_never_overwrites_and_latest_batch_wins(spark, tmp_path, make_re
         source.latest_batch(landed, source="outra")
 
 
+def test_files_with_columns_in_another_order(spark, tmp_path):
+    names = list(REQUIRED_COLUMNS)
+    write(tmp_path, ",".join(names) + "\n" + "1,ola,email,2026-01-01,M,D\n", "a.csv")
+    write(tmp_path, " ,".join(reversed(names)) + '\nE,N,2026-01-02,chat,"oi, ""tudo""\nbem",2\n', "b.csv")
+    write(tmp_path, ",".join(names) + ",extra\n3,fim\n", "c.csv")
+    rows = {r.id_registro: r for r in source.load_records(spark, f"{tmp_path}/*.csv").collect()}
+    assert (rows["1"].texto, rows["1"].classe_macro, rows["1"].classe_detalhada) == ("ola", "M", "D")
+    assert (rows["2"].texto, rows["2"].classe_macro, rows["2"].classe_detalhada) == ('oi, "tudo"\nbem', "N", "E")
+    assert (rows["3"].texto, rows["3"].classe_macro, rows["3"].extra) == ("fim", None, None)
+
+
+@pytest.mark.parametrize("multiline", [True, False])
+def test_unreadable_files_are_refused(spark, tmp_path, multiline):
+    header = ",".join(REQUIRED_COLUMNS) + "\n"
+    long = write(tmp_path, header + "1,a,b,c,d,e,f,g\n", "long.csv")
+    latin = tmp_path / "latin.csv"
+    latin.write_bytes((header + "1,cobrança,b,c,d,e\n").encode("latin-1"))
+    twice = write(tmp_path, header.strip() + ",texto\n1,a,b,c,d,e,f\n", "twice.csv")
+    for path in (long, latin, twice, tmp_path / "none.csv"):
+        with pytest.raises(CasewiseError):
+            source.load_records(spark, str(path), multiline)
+    good = write(tmp_path, header + "1,a,b,c,d\n2,a,b,c,d,e\n", "good.csv")
+    assert source.load_records(spark, str(good), multiline).count() == 2
+
+
+def test_batches_are_ordered_by_arrival_and_keep_their_names(spark, tmp_path, make_records):
+    landing = str(tmp_path / "landing")
+    for at, batch in enumerate(("9", "10", "007")):
+        source.land_batch(make_records([(at, "a", "M", "D")]), landing, batch=batch)
+    landed = source.read_landing(spark, landing)
+    assert {r.batch for r in landed.collect()} == {"9", "10", "007"}
+    assert source.latest_batch(landed).first().batch == "007"
+    assert source.latest_batch(landed, preferred="9").first().id_registro == "0"
+    assert source.latest_batch(landed, preferred="7").first().batch == "007"
+
+
 def test_newest_files(spark, tmp_path):
     import os
 
