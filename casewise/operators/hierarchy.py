@@ -135,13 +135,14 @@ def train_hierarchy(
         ),
         options.processed_column,
     ).drop(options.processed_column)
+    docs = materialize(docs, "terms")  # tokenised once, for the vocabularies and the vectors of both scopes
     vocabulary = materialize(
         fit_vocabulary(docs.select("scope", "terms"), settings.max_features, EVERYTHING), "vocabulary"
     )
     classes = materialize(taxonomy(train), "taxonomy")
     if classes.isEmpty():
         raise CasewiseError("Não foi possível treinar a camada detalhada com o dataset atual.")
-    both = docs.unionByName(docs.withColumn("scope", F.lit(EVERYTHING)))
+    both = docs.withColumn("scope", F.explode(F.array("scope", F.lit(EVERYTHING))))
     vectors = materialize(vectorize(both, vocabulary).drop("terms"), "vectors", partition_by="scope")
     dimensions = {row[0]: row[1] for row in vocabulary.groupBy("scope").agg(F.max("place")).collect()}
 

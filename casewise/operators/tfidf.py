@@ -26,7 +26,7 @@ _ROW = "_row_key"
 
 # Vocabulary entries the driver may hold; larger vocabularies are joined instead.
 MAX_ENTRIES = 500_000
-# First-level groups when ranking terms, so that no task sorts a whole vocabulary.
+# First-level groups when ranking the terms that are frequent enough, in case very many are equally frequent.
 RANK_SALTS = 64
 
 
@@ -93,11 +93,18 @@ def fit_vocabulary(docs: DataFrame, max_features: int, overall: str | None = Non
     if overall is not None:
         rolled = counts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
         counts = counts.unionByName(rolled.withColumn("scope", F.lit(overall)))
+    counts = materialize(counts, "term-counts")
     is_document = F.col("term") == _DOCUMENT
+    # How often must a term occur to be among the first N? Known from the number of terms of each total.
+    sizes = counts.where(~is_document).groupBy("scope", "total").agg(F.count(F.lit(1)).alias("_terms"))
+    upto = F.sum("_terms").over(Window.partitionBy("scope").orderBy(F.desc("total")))
+    bounds = sizes.withColumn("_before", upto - F.col("_terms")).where(F.col("_before") < max_features)
+    bounds = materialize(bounds.groupBy("scope").agg(F.min("total").alias("_least")), "term-bounds")
+    enough = counts.join(bounds, "scope").where(is_document | (F.col("total") >= F.col("_least"))).drop("_least")
     order = [F.desc(is_document), F.desc("total"), F.asc("term")]
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(RANK_SALTS)))
-    # A term among the first N of its scope is among the first N of its salt as well. The row that
-    # counts the documents sorts first, so both levels keep it next to the N terms.
+    salted = enough.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(RANK_SALTS)))
+    # Very many terms may share the least total. A term among the first N of its scope is among the first N
+    # of its salt as well. The row that counts the documents sorts first, so both levels keep it.
     by_salt = Window.partitionBy("scope", "salt").orderBy(*order)
     shortlist = salted.withColumn("place", F.row_number().over(by_salt)).where(F.col("place") <= max_features + 1)
     by_scope = Window.partitionBy("scope").orderBy(*order)

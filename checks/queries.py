@@ -232,9 +232,9 @@ def _vocabulary(spark, sf):
 
 @query("tfidf_weights")
 def _tfidf_weights(spark, sf):
-    docs = _scoped_terms(spark, sf)
+    docs = materialize(_scoped_terms(spark, sf), "terms")
     fitted = materialize(tfidf.fit_vocabulary(docs, 5000, tfidf.EVERYTHING), "vocabulary")
-    both = docs.unionByName(docs.withColumn("scope", F.lit(tfidf.EVERYTHING)))
+    both = docs.withColumn("scope", F.explode(F.array("scope", F.lit(tfidf.EVERYTHING))))
     weights = tfidf.explode_vectors(tfidf.vectorize(both, fitted))
     return weights.withColumns({"weight": round_exact(F.col("weight"), 6), "place": F.col("place").cast("bigint")})
 
