@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewise.llm.common import Scratch, Words, bitmap_of, digest, in_bitmap, list_array, mix, table, text_slices
@@ -16,6 +16,8 @@ SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 #: A pair at the threshold shares one of 24 bands of 5 places with probability 0.99993.
 BANDS, BAND_ROWS = 24, 5
+#: Leaders of its buckets with which a text is compared first; what they leave apart is compared with the rest.
+LEADERS = 2
 
 _U = np.uint64
 
@@ -199,11 +201,12 @@ def near_duplicate_classes(
     one shingle. ``class_texts`` counts the different texts of a class; ``kept`` marks the rows with the class's id.
 
     Equal texts are one node from the start. Bands of BagMinHash signatures name candidate buckets. First, each
-    text is compared with the most copied first text of all its buckets, which joins most of a group into one
-    class. Then only buckets that hold several classes are left. A text can be linked there only if enough
+    text is compared with those most copied texts of its buckets that it meets most often, which brings most of
+    a group under one label. Then only buckets that hold several labels are left. A text can be linked there only if enough
     of its shingles occur in other texts that are left; that bound, which loses no link, drops texts
-    that share a passage or were edited too much. What stands outside the largest class of its bucket is compared
-    with all texts of the bucket that are in other classes, so pairs inside a class are never formed.
+    that share a passage or were edited too much. Those that it keeps are joined by their prefixes, the rarest
+    shingles of which linked texts must share one: what stands outside the largest label of a shingle is compared
+    with all texts of the shingle that have another label, so pairs under one label are never formed.
 
     A text without words is linked to equal texts only. A null text is a class of its own row id
     and always kept. Ids may be null; a class with null ids only has a null class_id. Repeated rows get equal
@@ -233,29 +236,34 @@ def near_duplicate_classes(
     def able(x: str, y: str):
         return F.least(x, y) >= threshold * F.greatest(x, y)
 
-    leader = buckets.where((F.col("first.content") != F.col("content")) & able("first.shingles", "shingles"))
-    leader = leader.groupBy(F.col("content").alias("b")).agg(F.max("first")["content"].alias("a"))
-    links = _verify(scratch, leader.select("a", "b"), bags, threshold)
-    groups = _classes(links, scratch)
-
-    named = buckets.join(groups.withColumnRenamed("node", "content"), "content", "left")
-    named = scratch.save(named.select("band", "content", "shingles", "least", F.coalesce("component", "content").alias("class")), "named")
+    # The leaders that a text meets in most buckets are the likeliest to be similar to it.
+    met = buckets.where((F.col("first.content") != F.col("content")) & able("first.shingles", "shingles"))
+    met = met.groupBy(F.col("content").alias("b"), F.col("first.content").alias("a")).agg(
+        F.count("*").alias("buckets"), F.max("first.copies").alias("copies")
+    )
+    order = Window.partitionBy("b").orderBy(F.desc("buckets"), F.desc("copies"), "a")
+    chosen = scratch.save(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS), "leaders")
+    links = _verify(scratch, chosen.select("a", "b"), bags, threshold)
+    # A first label is enough here: it only has to bring most of a group together.
+    label = links.join(chosen, ["a", "b"]).groupBy(F.col("b").alias("content")).agg(F.max(F.struct("copies", "a"))["a"].alias("label"))
+    label = scratch.save(label, "labels")
+    named = buckets.join(label, "content", "left")
+    named = scratch.save(named.select("band", "content", "shingles", "least", F.coalesce("label", "content").alias("class")), "named")
     left = _in_mixed_buckets(scratch, named)
     alone = _lone_weight(bags, left.select("content").distinct())
     left = left.join(alone, "content", "left").withColumn("shared", F.col("shingles") - F.coalesce("alone", F.lit(0)))
     # An overlap by the threshold is at least this part of both lengths together.
     part = threshold / (1 + threshold)
     partner = F.greatest(F.col("least"), F.ceil(F.col("shingles") * threshold - 1e-6))
-    left = scratch.save(left.where(F.col("shared") >= part * (F.col("shingles") + partner) - 1e-6), "able")
-    left = _in_mixed_buckets(scratch, left)
+    left = left.where(F.col("shared") >= part * (F.col("shingles") + partner) - 1e-6).groupBy("content")
+    left = left.agg(*[F.min(c).alias(c) for c in ("class", "shingles", "least", "shared")])
+    left = _in_mixed_buckets(scratch, _prefixes(scratch, bags, scratch.save(left, "able"), part * (F.col("shingles") + partner) - 1e-6))
     apart = left.where("class != main").select("band", *[F.col(c).alias(f"a_{c}") for c in ("content", "shingles", "class", "shared")])
     once = (F.col("class") == F.col("main")) | (F.col("a_content") < F.col("content"))
     enough = F.least("a_shared", "shared") >= part * (F.col("a_shingles") + F.col("shingles")) - 1e-6
     pairs = apart.join(left, "band").where((F.col("a_class") != F.col("class")) & able("a_shingles", "shingles") & enough & once)
     more = _verify(scratch, pairs.select(F.col("a_content").alias("a"), F.col("content").alias("b")).distinct(), bags, threshold)
-    if not more.isEmpty():
-        groups = _classes(links.union(more), scratch)
-
+    groups = scratch.save(connected_components(links.union(more), scratch), "components")
     classed = nodes.join(groups.withColumnRenamed("node", "content"), "content", "left")
     classed = classed.select("content", "id", F.coalesce("component", "content").alias("class"))
     least = classed.groupBy("class").agg(F.min("id").alias("class_id"), F.count("*").alias("class_texts"))
@@ -272,10 +280,6 @@ def near_duplicate_classes(
     )
 
 
-def _classes(links: DataFrame, scratch: Scratch) -> DataFrame:
-    return scratch.save(connected_components(links, scratch), "components")
-
-
 def _in_mixed_buckets(scratch: Scratch, rows: DataFrame) -> DataFrame:
     """The rows of buckets with more than one class, with the largest class of the bucket as ``main``."""
     sizes = rows.groupBy("band", "class").agg(F.count("*").alias("n"))
@@ -303,6 +307,23 @@ def _lone_weight(bags: DataFrame, contents: DataFrame) -> DataFrame:
     return single.where("n = 1").groupBy("content").agg(F.sum("weight").alias("alone"))
 
 
+def _prefixes(scratch: Scratch, bags: DataFrame, nodes: DataFrame, least_overlap: Column) -> DataFrame:
+    """``nodes`` once for each shingle of their prefix, as ``band``.
+
+    Shingles are ordered by the number of ``nodes`` that have them. Two texts that overlap by enough share one
+    among the rarest of each, before what is left weighs less than ``least_overlap``; shingles that only one
+    text has are in its prefix but lead nowhere.
+    """
+    rows = bags.join(nodes.select("content"), "content", "left_semi").mapInArrow(_unfold, "content binary, shingle long, weight long")
+    rows = scratch.save(rows, "shingles")
+    common = scratch.save(rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1"), "common")
+    rows = rows.join(common, "shingle", "left").join(nodes, "content")
+    before = Window.partitionBy("content").orderBy(F.coalesce("n", F.lit(1)), "shingle").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("weight").over(before), F.lit(0)))
+    rows = rows.where((F.col("before") <= F.col("shingles") - least_overlap) & F.col("n").isNotNull())
+    return scratch.save(rows.select(F.col("shingle").alias("band"), "content", "shingles", "class", "shared"), "prefixes")
+
+
 def _unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each shingle of each bag."""
     for batch in batches:

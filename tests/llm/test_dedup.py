@@ -83,6 +83,21 @@ def test_large_group_keeps_one(make_docs):
     assert len({r["class_id"] for r in got}) == 2
 
 
+def test_group_edited_to_every_degree(make_docs):
+    draw = random.Random(9)
+    base = [f"b{i}" for i in range(120)]
+    rows = [" ".join(base)] * 5
+    for _ in range(70):
+        copy = list(draw.choice(rows[-20:]).split()) if draw.random() < 0.4 else list(base)
+        for _ in range(draw.randrange(12)):
+            at = draw.randrange(len(copy))
+            copy[at : at + 1] = draw.choice([[], ["new"], [f"n{draw.randrange(9)}"], [copy[at], "more"]])
+        rows.append(" ".join(copy))
+    rows = list(enumerate(rows))
+    got = D.near_duplicate_classes(make_docs(rows)).collect()
+    assert sorted(((r["doc_id"], r["class_id"]) for r in got), key=repr) == plain_classes(rows)
+
+
 def bag(texts, k=1):
     (_, _, data, bounds) = next(text_slices(pa.array(texts)))
     return D.bag_of_shingles(Words(data, bounds), k)
