@@ -178,7 +178,7 @@ def find_contamination(
     owners = cut.where("item IS NOT NULL").select("window", F.col("item").cast("string").alias("item")).distinct()
     named = matched.select("content", "window").distinct().join(owners, "window")
     named = named.groupBy("content").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    hits = covered.join(named, "content", "left")
+    hits = scratch.save(covered.join(named, "content", "left"), "hits")  # so that Spark can split a text with many copies
 
     key = F.coalesce("content", F.lit(b""))
     rows = found.select("id", "content", "n_words").withColumn("key", key)
@@ -198,10 +198,11 @@ def find_contamination(
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose text holds no window of any item; columns as they are."""
+    """The rows of ``docs`` (documents) whose text holds no window of any item; columns as they are."""
     judged = find_contamination(docs, items).where("contaminated").select("content").distinct()
-    keyed = docs.withColumn("_content", digest(F.col("text")))
-    return keyed.join(judged.withColumnRenamed("content", "_content"), "_content", "left_anti").select(*docs.columns)
+    judged = Scratch(docs.sparkSession, "contaminated").save(judged, "texts")  # a small one is broadcast, and no text shuffled
+    rows = docs.select(F.struct(F.col("*")).alias("row"), digest(F.col("text")).alias("content"))
+    return rows.join(judged, "content", "left_anti").select("row.*")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
