@@ -100,17 +100,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, edges: DataFrame | None = Non
     fitting = scratch.save(match_rules(nodes, rules), "rules")
     member = groups.join(fitting, groups["node"] == fitting["url"])
     decided = member.groupBy("component").agg(F.max(F.col("verdict") == "allow").alias("allowed"))
-    decided = decided.where("NOT allowed").select("component")  # blocked, and nothing in it allowed
+    decided = scratch.save(decided.where("NOT allowed").select("component"), "decided")  # blocked, and nothing in it allowed
     spread = groups.join(decided, "component").select(F.col("node").alias("url"), F.lit("block").alias("spread"))
     verdicts = nodes.join(fitting, "url", "left").join(spread, "url", "left")
     verdicts = verdicts.select("url", "rule", F.coalesce("verdict", "spread").alias("verdict")).where("verdict IS NOT NULL")
-    verdicts = verdicts.withColumnRenamed("url", "_url")
     kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    judged = pages.select(*kept).join(verdicts, pages["url"] == verdicts["_url"], "left").drop("_url")
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), "url")
+    judged = rows.join(scratch.save(verdicts, "verdicts"), "url", "left")
     return judged.select(
-        *kept,
-        host_of(F.col("url")).alias("host"),
-        path_of(F.col("url")).alias("path"),
+        "row.*",
+        host_of(F.col("row.url")).alias("host"),
+        path_of(F.col("row.url")).alias("path"),
         "rule",
         F.coalesce("verdict", F.lit("allow")).alias("verdict"),
     )
