@@ -355,7 +355,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows of that id and text one stays; null texts all stay.
     """
     scratch = Scratch(docs.sparkSession, "kept")
-    judged = near_duplicate_classes(docs).where("content IS NOT NULL").groupBy("doc_id", "content")
+    classes = scratch.save(near_duplicate_classes(docs), "classes")  # so that its last join stands alone
+    judged = classes.where("content IS NOT NULL").groupBy("doc_id", "content")
     judged = judged.agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     judged = scratch.save(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("id"), "content", "kept"), "judged")
     rows = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("content"))
