@@ -118,13 +118,15 @@ def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
 def conversation_events(conversations: DataFrame) -> DataFrame:
     """An event log of a table of finished turns (conv_id, turn, role, text): one ``message`` event per row.
 
-    Different rows of the same turn are different messages; rows equal in all four are one event that
-    came more than once.
+    Every row is a message of its own. Rows equal in all four are told apart by a number: they are counted,
+    which keeps a row with many copies small in the shuffle, and dealt out again.
     """
-    return conversations.select(
+    rows = conversations.groupBy("conv_id", "turn", "role", "text").agg(F.count(F.lit(1)).alias("copies"))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return rows.select(
         "conv_id",
         F.col("turn").alias("seq"),
-        F.xxhash64("turn", "role", "text", F.col("role").isNull(), F.col("text").isNull()).alias("message"),
+        F.xxhash64("turn", "role", "text", F.col("role").isNull(), F.col("text").isNull(), "copy").alias("message"),
         F.lit("message").alias("kind"),
         "role",
         "text",
