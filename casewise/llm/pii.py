@@ -24,8 +24,8 @@ METHOD_KINDS = ("generalised", "removed")
 LABELS = {kind: f"[{kind.upper()}]" for kind in BASE_KINDS} | {"generalised": "[TERM]", "removed": ""}
 
 TERM = r"\p{L}{3,}"
-#: Code points on each side of an entity whose terms count as occurring with it.
-CONTEXT = 60
+#: Matches that are placed together, see _placed.
+BLOCK = 64
 #: Documents that must show a term with an entity before the corpus says anything about the two.
 SUPPORT = 2
 #: Shares of an entity's information content that a term may disclose before it is generalised or removed.
@@ -35,24 +35,36 @@ _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
 def _placed(text: Column, pattern: str, keep) -> Column:
-    """Matches of ``pattern`` that ``keep`` accepts, as (start, end, value) in code points."""
-    step = lambda acc, m: F.struct(
-        (acc["at"] + F.length(m["gap"]) + F.length(m["hit"])).cast("int").alias("at"),
-        F.concat(
-            acc["found"],
-            F.array(
-                F.struct(
-                    (acc["at"] + F.length(m["gap"])).cast("int").alias("start"),
-                    (acc["at"] + F.length(m["gap"]) + F.length(m["hit"])).cast("int").alias("end"),
-                    m["hit"].alias("value"),
-                )
-            ),
-        ).alias("found"),
-    )
+    """Matches of ``pattern`` that ``keep`` accepts, as (start, end, value) in code points.
+
+    Arrays grow by copying, so matches are placed in blocks first, which are then moved to their places.
+    """
+    kind = "array<struct<start:int,end:int,value:string>>"
+
+    def span(m: Column, start: Column, end: Column) -> Column:
+        return F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), m.alias("value"))
+
+    def step(acc: Column, m: Column) -> Column:
+        low = acc["at"] + F.length(m["gap"])
+        high = low + F.length(m["hit"])
+        return F.struct(high.cast("int").alias("at"), F.concat(acc["found"], F.array(span(m["hit"], low, high))).alias("found"))
+
+    def move(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["found"], lambda m: span(m["value"], m["start"] + acc["at"], m["end"] + acc["at"]))
+        return F.struct((acc["at"] + block["at"]).cast("int").alias("at"), F.concat(acc["found"], F.array(moved)).alias("found"))
+
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.slice(F.split(text, pattern, -1), 1, F.size(hits))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
-    found = F.aggregate(F.arrays_zip(gaps.alias("gap"), hits.alias("hit")), start, step, lambda acc: acc["found"])
+    empty = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("found"))
+    none = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("found"))
+
+    def blocks(pairs: Column) -> Column:
+        firsts = F.sequence(F.lit(1), F.greatest(F.size(pairs), F.lit(1)), F.lit(BLOCK))
+        return F.transform(firsts, lambda first: F.aggregate(F.slice(pairs, first, F.lit(BLOCK)), empty, step))
+
+    # A transform over one element gives the pairs a name, so that they are made once.
+    once = F.transform(F.array(F.arrays_zip(gaps.alias("gap"), hits.alias("hit"))), blocks)
+    found = F.flatten(F.aggregate(F.get(once, F.lit(0)), none, move, lambda acc: acc["found"]))
     return F.filter(found, lambda m: keep(m["value"])) if keep else found
 
 
@@ -108,97 +120,106 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(ordered, F.array().cast(kind), add)
 
 
-def _context_terms(text: Column, entities: Column) -> Column:
-    """(entity, term, start, end) of the whole words around each entity, up to the next entity on each side."""
+def _values(text: Column, entities: Column) -> Column:
+    """The distinct entities of a text, lowered."""
+    return F.array_distinct(F.transform(entities, lambda e: F.lower(F.substr(text, e["start"] + 1, e["end"] - e["start"]))))
 
-    def around(e: Column, i: Column) -> Column:
+
+def _masked(text: Column, entities: Column) -> Column:
+    """The text with a space for each code point of its entities: what is left stands where it stood."""
+
+    def piece(e: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get(entities, i - 1)["end"]).otherwise(0)
-        after = F.coalesce(F.get(entities, i + 1)["start"], F.length(text))
-        left = F.greatest(before, e["start"] - CONTEXT)
-        right = F.least(after, e["end"] + CONTEXT)
-        entity = F.lower(F.substr(text, e["start"] + 1, e["end"] - e["start"]))
+        return F.concat(F.substr(text, before + 1, e["start"] - before), F.repeat(F.lit(" "), e["end"] - e["start"]))
 
-        def terms(start: Column, end: Column, cut_left: Column, cut_right: Column) -> Column:
-            piece = F.substr(text, start + 1, end - start)
-            whole = F.filter(
-                _placed(piece, TERM, None),
-                lambda m: ~(cut_left & (m["start"] == 0)) & ~(cut_right & (m["end"] == F.length(piece))),
-            )
-            return F.transform(
-                whole, lambda m: F.struct(entity.alias("entity"), F.lower(m["value"]).alias("term"), (m["start"] + start).alias("start"), (m["end"] + start).alias("end"))
-            )
+    tail = F.substr(text, F.element_at(entities, -1)["end"] + 1, F.length(text))
+    return F.when(F.size(entities) > 0, F.concat(F.array_join(F.transform(entities, piece), ""), tail)).otherwise(text)
 
-        return F.concat(terms(left, e["start"], left > before, F.lit(False)), terms(e["end"], right, F.lit(False), right < after))
 
-    return F.flatten(F.transform(entities, around))
+def _terms(text: Column) -> Column:
+    """The distinct whole words of a text, lowered."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
 
 
 def disclosures(seen: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(entity, term, kind) of the terms that disclose an entity too strongly.
 
     A term t discloses of an entity e the share PMI(t; e) / IC(e) of its information content, where IC(e) = -log p(e)
-    and PMI(t; e) = log(p(t, e) / (p(t) p(e))), with probabilities over the documents: of ``seen`` for e
-    and for t near e, and of all of ``docs`` for t. A share of 1 means that the term is found
-    only around the entity.
+    and PMI(t; e) = log(p(t, e) / (p(t) p(e))), with probabilities over whole documents. A share of 1 means that
+    the term is found only in documents with the entity. ``seen`` (content, values, terms) are the documents with
+    entities; their terms are those outside the entities.
+
+    A share of g at least means n(t) <= n(t, e) (n / n(e))**(1 - g), and n(t, e) is at most n(e) and at most the
+    count of t in ``seen``. Pairs beyond that bound, or of an entity or term without support, are not formed.
     """
-    pair = F.explode(F.array_distinct(F.transform("terms", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")
-    together = seen.select(pair).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= SUPPORT)
-    together = scratch.save(together, "together")
-    entity = F.explode(F.array_distinct(F.col("values"))).alias("entity")
-    entities = seen.select(entity).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    term = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term")
-    terms = docs.select(term).groupBy("term").agg(F.count("*").alias("n_term"))
-    whole = docs.agg(F.count("*").alias("n"))
-    known = together.join(entities, "entity").join(terms, "term").crossJoin(F.broadcast(whole))  # one row
+    texts = seen.groupBy("content").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"), F.first("terms").alias("terms"))
+    texts = scratch.save(texts, "texts")
+    whole = docs.agg(F.count(F.lit(1)).alias("n"))
+    entities = texts.select(F.explode("values").alias("entity"), "copies").groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+    entities = entities.where(F.col("n_entity") >= SUPPORT).crossJoin(F.broadcast(whole))  # one row
+    reach = F.pow(F.col("n") / F.col("n_entity"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    entities = scratch.save(entities.withColumn("reach", reach), "entities")
+    far = entities.agg(F.max("reach").alias("far"), F.max(F.col("n_entity") * F.col("reach")).alias("most"))
+    near = texts.select(F.explode("terms").alias("term"), "copies").groupBy("term").agg(F.sum("copies").alias("n_seen"))
+    counts = docs.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    terms = near.where(F.col("n_seen") >= SUPPORT).join(counts, "term").crossJoin(F.broadcast(far))  # one row
+    terms = terms.where((F.col("n_term") <= F.col("n_seen") * F.col("far")) & (F.col("n_term") <= F.col("most")))
+    terms = scratch.save(terms.select("term", "n_term", "n_seen"), "terms")
+    # Each join is written alone, so that Spark can split a term or an entity with many texts.
+    holds = scratch.save(texts.select("content", F.explode("terms").alias("term")).join(terms, "term"), "holds")
+    names = scratch.save(texts.select("content", "copies", F.explode("values").alias("entity")).join(entities, "entity"), "names")
+    fits = F.col("n_term") <= F.least("n_entity", "n_seen") * F.col("reach")
+    pairs = names.join(holds, "content").where(fits)
+    together = pairs.groupBy("entity", "term", "n", "n_entity", "n_term").agg(F.sum("copies").alias("n_both"))
+    together = together.where(F.col("n_both") >= SUPPORT)
     content = F.log(F.col("n") / F.col("n_entity"))
     pmi = F.log(F.col("n") * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     share = F.when(content > 0, pmi / content)
     kind = F.when(share >= REMOVE, "removed").when(share >= GENERALISE, "generalised")
-    return known.select("entity", "term", kind.alias("kind")).where("kind IS NOT NULL")
+    return together.select("entity", "term", kind.alias("kind")).where("kind IS NOT NULL")
 
 
 def find_spans(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: (id, content, base, method): the patterns' spans and the spans of disclosing terms.
 
-    ``base``: (kind, start, end, value) by kind and start. ``method``: (kind, start, end) of terms near an
-    entity that disclose it: ``generalised`` or ``removed``, by kind and start; none overlaps a base span.
+    ``base``: (kind, start, end, value) by kind and start. ``method``: (kind, start, end) of every occurrence of a term
+    that discloses an entity, wherever it stands and in documents without the entity too: ``generalised`` or
+    ``removed``, by kind and start; none overlaps a base span.
     Spans count in code points, end exclusive. A null text is empty and has null ``content``; null ids and
     repeated rows keep their rows; an empty table gives no rows; only ``id_column`` and ``text`` are read.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col(id_column).alias("id"), digest(F.col("text")).alias("content"), text.alias("text"), base_spans(F.col("text")).alias("base"))
-    merged = rows.withColumn("entities", F.when(F.size("base") > 0, _merged(F.col("base"))))
-    values = F.transform("entities", lambda e: F.lower(F.substr(F.col("text"), e["start"] + 1, e["end"] - e["start"])))
-    rows = merged.select("id", "content", "base", values.alias("values"), _context_terms(F.col("text"), F.col("entities")).alias("terms"))
-    rows = scratch.save(rows, "spans")
-    plain = rows.where("size(base) = 0")
-    seen = rows.where("size(base) > 0")
-    strong = scratch.save(disclosures(seen, docs.select("text"), scratch), "strong")
-    near = seen.dropDuplicates(["content"]).select("content", F.explode("terms").alias("t")).select("content", "t.*")
-    found = near.join(strong, ["entity", "term"]).groupBy("content", "start", "end").agg(F.max("kind").alias("kind"))  # removed wins
-    method = found.groupBy("content").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end"))).alias("method"))
+    texts = docs.select(F.col(id_column).alias("id"), digest(F.col("text")).alias("content"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("base", base_spans(F.col("text")))
+    texts = texts.withColumn("entities", F.when(F.size("base") > 0, _merged(F.col("base"))))
+    masked = F.when(F.size("base") > 0, _masked(F.col("text"), F.col("entities"))).otherwise(F.col("text"))
+    values = F.when(F.size("base") > 0, _values(F.col("text"), F.col("entities")))
+    terms = F.when(F.size("base") > 0, _terms(masked))
+    rows = scratch.save(texts.select("id", "content", "base", values.alias("values"), terms.alias("terms")), "spans")
+    strong = disclosures(rows.where("size(base) > 0"), docs.select("text"), scratch)
+    strong = scratch.save(strong.groupBy("term").agg(F.max("kind").alias("kind")), "strong")  # removed wins
+    places = texts.select("content", masked.alias("masked")).select("content", F.explode(_placed(F.col("masked"), TERM, None)).alias("m"))
+    places = places.select("content", F.lower("m.value").alias("term"), "m.start", "m.end")
+    found = scratch.save(places.join(strong, "term").select("content", "kind", "start", "end"), "found")
+    method = found.groupBy("content").agg(F.array_sort(F.collect_set(F.struct("kind", "start", "end"))).alias("method"))
     method = scratch.save(method, "method")  # so that the join stands alone and Spark can split a text with many copies
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
-    return plain.select("id", "content", "base", none.alias("method")).union(
-        seen.join(method, "content", "left").select("id", "content", "base", F.coalesce("method", none).alias("method"))
-    ).withColumnRenamed("id", id_column)
+    joined = rows.select("id", "content", "base").join(method, "content", "left")
+    return joined.select("id", "content", "base", F.coalesce("method", none).alias("method")).withColumnRenamed("id", id_column)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
     """``docs`` (documents) with all spans of :func:`find_spans` replaced by labels, or by nothing if removed.
 
     Texts without spans, and null texts, stay as they are; ``n_chars``, where there is one, follows a changed text.
-    Only texts with spans are shuffled.
     """
-    spans = find_spans(docs).where("size(base) > 0").dropDuplicates(["content"])
+    spans = find_spans(docs).where("size(base) > 0 OR size(method) > 0").dropDuplicates(["content"])
     base = F.transform("base", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end")]))
     spans = spans.select("content", _merged(F.concat(base, "method")).alias("spans"))
     spans = Scratch(docs.sparkSession, "sanitise").save(spans, "spans")
     text = F.col("text")
-    rows = docs.select(F.struct(F.col("*")).alias("row"), digest(text).alias("content"), (F.size(base_spans(text)) > 0).alias("hit"))
-    hit = rows.where("hit").join(spans, "content")
-    text = F.col("row.text")
+    rows = docs.select(F.struct(F.col("*")).alias("row"), digest(text).alias("content")).join(spans, "content", "left")
+    text, hit = F.col("row.text"), F.col("spans").isNotNull()
 
     def piece(s: Column, i: Column) -> Column:
         before = F.when(i > 0, F.get("spans", i - 1)["end"]).otherwise(0)
@@ -206,10 +227,12 @@ def sanitise(docs: DataFrame) -> DataFrame:
         return F.concat(F.substr(text, before + 1, s["start"] - before), label)
 
     tail = F.substr(text, F.element_at("spans", -1)["end"] + 1, F.length(text))
-    cleaned = hit.withColumn("clean", F.concat(F.array_join(F.transform("spans", piece), ""), tail))
-    out = {"text": F.col("clean"), "n_chars": F.length("clean").cast(dict(docs.dtypes).get("n_chars", "long"))}
-    changed = cleaned.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
-    return rows.where("NOT hit").select("row.*").union(changed)
+    cleaned = rows.withColumn("clean", F.when(hit, F.concat(F.array_join(F.transform("spans", piece), ""), tail)).otherwise(text))
+    length = F.length("clean").cast(dict(docs.dtypes).get("n_chars", "long"))
+    out = {"text": F.col("clean")}
+    if "n_chars" in docs.columns:
+        out["n_chars"] = F.when(hit, length).otherwise(F.col("row.n_chars"))
+    return cleaned.select(*[out.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op3_information_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

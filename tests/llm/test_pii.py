@@ -90,3 +90,27 @@ def test_query_digest(make_docs, tmp_path):
     assert rows[0]["base_sha256"] == hashlib.sha256(b"email:0:6,ip:7:14").hexdigest()
     assert rows[2]["base_sha256"] == hashlib.sha256(b"").hexdigest() and rows[2]["spans"] == ""
     assert [rows[0][f"n_{k}"] for k in P.BASE_KINDS] == [1, 1, 0, 0]
+
+
+def test_disclosing_terms_anywhere(make_docs):
+    """In a heading far above the entity, again in the same text, and in a text without the entity."""
+    far = "filler words stand between " * 40
+    docs = [f"Zorblatt wrote: {far} mail z@x.org now. {far} zorblatt" for _ in range(4)]
+    docs += ["ask Zorblatt, é Zorblatt."] + [f"filler words stand between mail now wrote ask {i}" for i in range(200)]
+    texts = make_docs(docs)
+    rows = {r["doc_id"]: r for r in P.find_spans(texts).collect()}
+    share = math.log(len(docs) * 4 / (5 * 4)) / math.log(len(docs) / 4)
+    kind = "removed" if share >= P.REMOVE else "generalised"
+    assert P.GENERALISE <= share
+    for doc in range(len(docs)):
+        want = [(kind, m.start(), m.end()) for m in re.finditer("zorblatt", docs[doc].lower())]
+        assert [tuple(m) for m in rows[doc]["method"]] == want and len(want) == (2 if doc < 4 else 2 if doc == 4 else 0)
+    clean = {r["doc_id"]: r for r in P.sanitise(texts).collect()}
+    assert len(clean) == len(docs)
+    assert all("zorblatt" not in r["text"].lower() and r["n_chars"] == len(r["text"]) for r in clean.values())
+
+
+def test_places_in_many_blocks(spark):
+    text = "".join(f"é😀 w{'abc'[i % 3] * (2 + i % 5)} 12 " for i in range(700))
+    row = spark.createDataFrame([(text,)], "text string").select(P._placed(F.col("text"), r"[a-z]{3,}", None).alias("m")).first()
+    assert [tuple(m) for m in row["m"]] == [(m.start(), m.end(), m.group()) for m in re.finditer(r"[a-z]{3,}", text)]
