@@ -1,7 +1,9 @@
-"""License scan: winnowed template fingerprints, then a banded alignment of words."""
+"""License scan: words shared with a template near one diagonal are counted, then a banded alignment of words."""
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,9 +13,6 @@ from pyspark.sql import functions as F
 
 from casewise.llm.common import Words, table, text_slices
 
-SHINGLE_WORDS = 5
-#: One fingerprint of any so many shingles in a row is kept.
-WINNOW = 4
 #: Words by which a copy may run ahead of or behind its template: a quarter of it, from 1 to this many.
 BAND = 8
 COVERAGE = 0.8
@@ -70,41 +69,72 @@ def winnow(hashes: np.ndarray, window: int) -> np.ndarray:
     return np.unique(np.arange(len(views)) + window - 1 - np.argmin(views[:, ::-1], axis=1))
 
 
+def band_of(n: int) -> int:
+    """Words by which a copy of a template of ``n`` words may run ahead or behind."""
+    return max(1, min(BAND, n // 4))
+
+
 class TemplateIndex:
-    """Words of the templates, and an inverted index of their winnowed fingerprints by shingle length."""
+    """Words of the templates, and an inverted index of all of them."""
 
-    def __init__(self, templates: list[tuple[str, str]], k: int = SHINGLE_WORDS, window: int = WINNOW):
+    def __init__(self, templates: list[tuple[str, str]], coverage: float = COVERAGE):
         self.names = [name for name, _ in templates]
         self.words: list[np.ndarray] = []
-        found: dict[int, list] = {}
+        posts = []
         for at, (_, text) in enumerate(templates):
             raw = np.frombuffer(text.encode(), np.uint8)
-            words = Words(raw, np.array([0, len(raw)]))
-            self.words.append(words.hash)
-            kind = min(k, len(words.hash))
-            if kind:
-                hashes = words.shingles(kind)[0][: len(words.hash) - kind + 1]
-                found.setdefault(kind, []).extend((int(hashes[p]), at, int(p)) for p in winnow(hashes, window))
-        self.posts = {}
-        for kind, posts in found.items():
-            posts.sort()
-            hashes = np.array([p[0] for p in posts], np.uint64)
-            quick = np.zeros(1 << 16, bool)
-            quick[(hashes >> np.uint64(48)).astype(np.int64)] = True
-            self.posts[kind] = (quick, hashes, np.array([p[1] for p in posts]), np.array([p[2] for p in posts]))
-
-    def hits(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(template, word place, place of the template's first word if it ran evenly) of every shared fingerprint."""
+            words = Words(raw, np.array([0, len(raw)])).hash
+            self.words.append(words)
+            posts.extend((int(h), at, offset) for offset, h in enumerate(words))
+        posts.sort()
+        self.needs = [max(1, math.ceil(coverage * len(words) - 1e-9)) for words in self.words]
+        self.longest = max((len(words) for words in self.words), default=0)
+        self.hashes = np.array([p[0] for p in posts], np.uint64)
+        self.template = np.array([p[1] for p in posts], np.int64)
+        self.offset = np.array([p[2] for p in posts], np.int64)
+        self.quick = np.zeros(1 << 16, bool)
+        self.quick[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def candidates(self, words: Words) -> list[tuple[int, int, int]]:
+        """(text, template, diagonal), sorted, of every place where a copy may run.
+
+        A diagonal is the place of the template's first word if the copy ran evenly. A copy of which enough words
+        match has as many shared words on diagonals of twice the band, so each diagonal that starts such a group
+        is a candidate, and no copy is missed.
+        """
+        at = np.flatnonzero(self.quick[(words.hash >> np.uint64(48)).astype(np.int64)])
+        low, high = (np.searchsorted(self.hashes, words.hash[at], side) for side in ("left", "right"))
+        count = high - low
+        place, low = np.repeat(at, count), np.repeat(low, count)
+        post = low + np.arange(len(low)) - np.repeat(np.cumsum(count) - count, count)
+        if not len(post):
+            return []
+        # Texts stand apart on the axis of diagonals, and templates on an axis of those.
+        gap = self.longest + 2 * BAND + 2
+        shift = np.arange(len(words.first) - 1) * gap + self.longest
+        text = np.searchsorted(words.first, place, "right") - 1
+        width = int(words.first[-1]) + int(shift[-1]) + gap
+        key = np.sort(self.template[post] * width + place - self.offset[post] + shift[text])
         out = []
-        for kind, (quick, hashes, template, offset) in self.posts.items():
-            runs, whole = words.shingles(kind)
-            at = np.flatnonzero(whole & quick[(runs >> np.uint64(48)).astype(np.int64)])
-            low, high = np.searchsorted(hashes, runs[at]), np.searchsorted(hashes, runs[at], "right")
-            count = high - low
-            at, low = np.repeat(at, count), np.repeat(low, count)
-            post = low + np.arange(len(low)) - np.repeat(np.cumsum(count) - count, count)
-            out.append((template[post], at, at - offset[post]))
-        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.array([], int),) * 3
+        ends = np.searchsorted(key, np.arange(len(self.words) + 1) * width)
+        for t, need in enumerate(self.needs):
+            lane = key[ends[t] : ends[t + 1]] - t * width
+            if len(lane) < need:
+                continue
+            lane = np.unique(lane[: len(lane) - need + 1][lane[need - 1 :] - lane[: len(lane) - need + 1] <= 2 * band_of(len(self.words[t]))])
+            text = np.searchsorted(words.first[:-1] + shift - self.longest + 1, lane, "right") - 1
+            out.extend((d, t, s) for d, s in zip(text.tolist(), (lane - shift[text]).tolist()))
+        return sorted(out)
+
+
+def _apart(copies: set[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The copies (matched, first, past) that no better one overlaps, by place."""
+    kept: list[tuple[int, int, int]] = []  # first, past, matched
+    for matched, a, b in sorted(copies, key=lambda c: (-c[0], c[2] - c[1], c[1])):
+        at = bisect_left(kept, (a, b, 0))
+        if (at == 0 or kept[at - 1][1] <= a) and (at == len(kept) or kept[at][0] >= b):
+            insort(kept, (a, b, matched))
+    return [(matched, a, b) for a, b, matched in kept]
 
 
 def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tuple[int, int, int]:
@@ -133,30 +163,26 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     return best[1], best[2], best[3]
 
 
-def _scan(index: TemplateIndex, coverage: float):
+def _scan(index: TemplateIndex):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, bounds in text_slices(batch.column("text")):
                 words = Words(data, bounds)
-                template, place, start = index.hits(words)
-                text = np.searchsorted(words.first, place, "right") - 1
-                order = np.lexsort((start, template, text))
-                template, start, text = template[order], start[order], text[order]
-                rows, last = [], None
-                for t, s, d in zip(template.tolist(), start.tolist(), text.tolist()):
-                    band = max(1, min(BAND, len(index.words[t]) // 4))
-                    if last and last[0] == (d, t) and s - last[1] <= band // 2:
-                        continue  # the same copy, on a diagonal that the band covers
-                    last = ((d, t), s)
+                found: dict[tuple[int, int], set] = {}
+                last, whole = None, 0
+                for d, t, s in index.candidates(words):
+                    if last == (d, t) and s <= whole:
+                        continue  # the group holds a whole copy, which is found
+                    if last != (d, t):
+                        last, whole = (d, t), s - 1
+                    band = band_of(len(index.words[t]))
                     first, past = int(words.first[d]), int(words.first[d + 1])
-                    matched, a, b = align(index.words[t], words.hash[first:past], s - first, band)
-                    if matched < coverage * len(index.words[t]):
-                        continue
-                    if rows and rows[-1][:2] == (d, t) and a < rows[-1][4]:
-                        if matched <= rows[-1][2]:
-                            continue
-                        rows.pop()
-                    rows.append((d, t, matched, a, b))
+                    matched, a, b = align(index.words[t], words.hash[first:past], s + band - first, band)
+                    if matched >= index.needs[t]:
+                        found.setdefault((d, t), set()).add((matched, a, b))
+                    if matched == b - a == len(index.words[t]):
+                        whole = first + a
+                rows = [(d, t, *copy) for (d, t), copies in found.items() for copy in _apart(copies)]
                 out = []
                 for d, t, matched, a, b in rows:
                     low, first = int(bounds[d]), int(words.first[d])
@@ -179,19 +205,19 @@ def scan_licenses(
     """(id, license, template, words, coverage, start, end): each passage that holds ``coverage`` of a template's words.
 
     ``templates`` are (name, text), by default :data:`TEMPLATES`; they travel with the code, so their total length is
-    that of a configuration. Every shingle of a text is looked up in the index of the templates'
-    winnowed fingerprints. A hit names a template and a diagonal; there a banded alignment counts the matched words in
+    that of a configuration. Every word of a text is looked up in the templates; where as many words as the
+    coverage asks for stand within the band of a diagonal, a banded alignment counts the matched words in
     order and finds the span, in code points, end exclusive. Copies of one template that overlap count once, the best
     one; different templates are reported each.
 
-    A template of fewer than five words is one fingerprint; one without words is never found. Null and
+    A template without words is never found. Null and
     empty texts have no rows; null ids and repeated rows keep theirs; only ``id_column`` and ``text`` are read.
     """
-    index = TemplateIndex(TEMPLATES if templates is None else templates)
+    index = TemplateIndex(TEMPLATES if templates is None else templates, coverage)
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).alias("id"), "text")
     schema = f"id {kind}, license string, template int, words long, coverage double, start long, end long"
-    return rows.mapInArrow(_scan(index, coverage), schema).withColumnRenamed("id", id_column)
+    return rows.mapInArrow(_scan(index), schema).withColumnRenamed("id", id_column)
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

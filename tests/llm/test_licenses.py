@@ -76,3 +76,19 @@ def test_winnow_keeps_one_of_any_run():
     h = draw.integers(0, 50, 200).astype(np.uint64)
     kept = set(L.winnow(h, 4).tolist())
     assert all(any(i in kept for i in range(at, at + 4)) for at in range(197)) and len(kept) < 120
+
+
+def test_single_changes_at_every_place(make_docs):
+    texts, owner = [], []
+    for t, (_, text) in enumerate(L.TEMPLATES):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        cut = Words(raw, np.array([0, len(raw)]))
+        words = [text.encode()[a:b].decode() for a, b in zip(cut.start, cut.end)]
+        for at in range(len(words)):
+            for new in ([], ["changed"]):
+                texts.append(" ".join(["before", "it", *words[:at], *new, *words[at + 1 :], "after", "it"]))
+                owner.append((t, words))
+    got = {(r[0], r[2]): r[3] for r in found(make_docs(texts))}
+    for doc, (t, words) in enumerate(owner):
+        plain = plain_matches([w.lower() for w in words], texts[doc].lower().split())
+        assert got.get((doc, t), 0) == (plain if plain >= L.COVERAGE * len(words) else 0), texts[doc]
