@@ -22,29 +22,36 @@ QUANTUM = 256
 CHUNK_TOKENS = 1 << 20
 
 
-def _chunks(path: str, end_id: int, most: int):
-    """Tokenise documents in the order they come; one row per run of documents with about ``most`` ids."""
-
-    def flush(chunk, docs, sources, parts, kind, width):
-        lengths = np.array([len(p) // width for p in parts], np.int64)
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([TaskContext.get().partitionId()], pa.int64()),
-                pa.array([chunk], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), pa.array(docs, kind)),
-                pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), pa.array(sources, pa.string())),
-                list_array(lengths, np.array([len(docs)]), pa.int64()),
-                pa.array([b"".join(parts)], pa.binary()),
-                pa.array([int(lengths.sum())], pa.int64()),
-            ],
-            ["part", "chunk", "docs", "sources", "lengths", "ids", "tokens"],
-        )
+def _flush(chunk: int, segments: list, kind: pa.DataType, width: int) -> pa.RecordBatch:
+    """A chunk as one row; ``segments``: (doc, source, start, total, ids)."""
+    docs, sources, starts, totals, parts = zip(*segments)
+    lengths = np.array([len(p) // width for p in parts], np.int64)
+    counts = np.array([len(docs)])
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([TaskContext.get().partitionId()], pa.int64()),
+            pa.array([chunk], pa.int64()),
+            pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), pa.array(docs, kind)),
+            pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), pa.array(sources, pa.string())),
+            list_array(np.array(starts, np.int64), counts, pa.int64()),
+            list_array(np.array(totals, np.int64), counts, pa.int64()),
+            list_array(lengths, counts, pa.int64()),
+            pa.array([b"".join(parts)], pa.binary()),
+            pa.array([width], pa.int64()),
+            pa.array([int(lengths.sum())], pa.int64()),
+        ],
+        ["part", "chunk", "docs", "sources", "starts", "totals", "lengths", "ids", "width", "tokens"],
+    )
+
+
+def _chunks(path: str, end_id: int, most: int, segment: int):
+    """Tokenise documents in the order they come, in segments; one row per run of documents with about ``most`` ids."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = word_ids(path)
         width = store.kind.itemsize
         end = np.array([end_id], store.kind).tobytes()
-        chunk, held, docs, sources, parts, kind = 0, 0, [], [], [], pa.int64()
+        chunk, held, segments, kind = 0, 0, [], pa.int64()
         for batch in batches:
             kind = batch.column("id").type
             for at in range(0, batch.num_rows, 256):
@@ -52,19 +59,67 @@ def _chunks(path: str, end_id: int, most: int):
                 ids, names, texts = (some.column(c).to_pylist() for c in ("id", "source", "text"))
                 for doc, name, text in zip(ids, names, texts):
                     part = (store.encode(text) if text else b"") + end
-                    docs.append(doc)
-                    sources.append(name or "")
-                    parts.append(part)
-                    held += len(part) // width
+                    total = len(part) // width
+                    for start in range(0, total, segment):
+                        segments.append((doc, name or "", start, total, part[start * width : (start + segment) * width]))
+                    held += total
                     if held >= most:
-                        yield flush(chunk, docs, sources, parts, kind, width)
-                        chunk, held, docs, sources, parts = chunk + 1, 0, [], [], []
-        if docs:
-            yield flush(chunk, docs, sources, parts, kind, width)
+                        yield _flush(chunk, segments, kind, width)
+                        chunk, held, segments = chunk + 1, 0, []
+        if segments:
+            yield _flush(chunk, segments, kind, width)
 
     return cut
 
 
+def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per segment with its place on the axis that all sources share.
+
+    A segment stands at the tokens of its source before it, divided by the source's share. Sources without a
+    share stand behind all others.
+    """
+    for batch in batches:
+        for row in range(batch.num_rows):
+            one = batch.slice(row, 1)
+            names = one.column("sources").flatten().to_pylist()
+            lengths = one.column("lengths").flatten().to_pylist()
+            ids, width = one.column("ids")[0].as_buffer(), one.column("width")[0].as_py()
+            axis = {r["source"]: r for r in one.column("axis")[0].as_py()}
+            served = {s: r["served"] for s, r in axis.items()}
+            places, bounds = [], [0]
+            for name, length in zip(names, lengths):
+                share = axis[name]["share"]
+                places.append(served[name] / share if share > 0 else axis[name]["far"] + 1.0 + served[name])
+                served[name] += length
+                bounds.append(bounds[-1] + length * width)
+            data = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(np.array(bounds, np.int32)), ids])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places, pa.float64()), one.column("docs").flatten(), one.column("sources").flatten(),
+                 one.column("starts").flatten(), one.column("totals").flatten(), data, pa.array([width] * len(names), pa.int64())],
+                ["place", "doc", "source", "start", "total", "ids", "width"],
+            )
+
+
+def _gather(most: int):
+    """Segments in the order they come; one row per run of them with about ``most`` ids."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, held, segments, kind, width = 0, 0, [], pa.int64(), 1
+        for batch in batches:
+            kind = batch.column("doc").type
+            columns = (batch.column(c).to_pylist() for c in ("doc", "source", "start", "total", "ids", "width"))
+            for *segment, width in zip(*columns):
+                segments.append(segment)
+                held += len(segment[-1]) // width
+                if held >= most:
+                    yield _flush(chunk, segments, kind, width)
+                    chunk, held, segments = chunk + 1, 0, []
+        if segments:
+            yield _flush(chunk, segments, kind, width)
+
+    return gather
+
+
 def sequence_lengths(tokens: int, window: int) -> list[int]:
     """Full windows, then the rest as powers of two, which need no padding."""
     rest = tokens % window
@@ -107,15 +162,18 @@ def _pack(window: int, quantum: int):
                 one = batch.slice(row, 1)
                 docs = one.column("docs").flatten()
                 names = one.column("sources").flatten().to_pylist()
-                lengths = one.column("lengths").flatten().to_numpy()
-                ids = one.column("ids")[0].as_buffer()
-                width = len(ids) // max(1, int(lengths.sum()))
+                lengths, starts, totals = (one.column(c).flatten().to_numpy() for c in ("lengths", "starts", "totals"))
+                ids, width = one.column("ids")[0].as_buffer(), one.column("width")[0].as_py()
                 wide = memoryview(np.frombuffer(ids, f"<u{width}").astype("<u4")).cast("B")
                 first = np.zeros(len(lengths) + 1, np.int64)
                 np.cumsum(lengths, out=first[1:])
                 queues: dict[str, list] = {}
+                head = list(range(len(names)))  # the first of a document's segments that stand together here
                 for at, name in enumerate(names):
-                    queues.setdefault(name, []).append((at, int(lengths[at])))
+                    queue = queues.setdefault(name, [])
+                    if queue and 0 < starts[at] == starts[queue[-1][0]] + lengths[queue[-1][0]]:
+                        head[at] = head[queue[-1][0]]
+                    queue.append((at, int(lengths[at])))
                 plan = {r["source"]: r for r in one.column("plan")[0].as_py()}
                 shares = {s: plan[s]["share"] for s in queues}
                 owed = {s: plan[s]["owed"] for s in queues}
@@ -126,19 +184,20 @@ def _pack(window: int, quantum: int):
                     while length:  # the last window is cut further
                         n = min(length, sizes[sequence] - offset)
                         begin = 4 * (int(first[doc]) + start)
-                        if out and out[-1][0] == doc and out[-1][1] + out[-1][2] == start and out[-1][4] == sequence:
+                        here = int(starts[doc]) + start
+                        if out and out[-1][0] == head[doc] and out[-1][1] + out[-1][2] == here and out[-1][4] == sequence:
                             last = out[-1]
                             last[2] += n
                             last[3] = zlib.crc32(wide[begin : begin + 4 * n], last[3])
                         else:
-                            out.append([doc, start, n, zlib.crc32(wide[begin : begin + 4 * n]), sequence, offset])
+                            out.append([head[doc], here, n, zlib.crc32(wide[begin : begin + 4 * n]), sequence, offset])
                         start, length, offset = start + n, length - n, offset + n
                         if offset == sizes[sequence]:
                             sequence, offset = sequence + 1, 0
                 doc, start, length, crc, sequence, offset = (np.array(c, np.int64) for c in zip(*out))
                 yield pa.RecordBatch.from_arrays(
                     [docs.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc),
-                     pa.array(lengths[doc]), pa.array(sequence + base), pa.array(offset)],
+                     pa.array(totals[doc]), pa.array(sequence + base), pa.array(offset)],
                     ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
                 )
 
@@ -170,7 +229,9 @@ def pack_documents(
 
     ``targets`` are shares of the tokens per source, by default each source's share of the corpus;
     sources that they leave out are owed nothing and come when no other is owed. Documents are
-    tokenised once and written in chunks. Each chunk is packed on its own, with the deficits that all chunks
+    tokenised once and written in chunks. Their segments of a quarter of a window are placed on one axis, the tokens of
+    the source before them divided by its share, and cut into chunks by that, so that each chunk draws from all
+    sources in whatever order the rows come. Each chunk is packed on its own, with the deficits that all chunks
     before it leave: running sums of tokens per source, so no pass over the chunks in order is needed. A
     window is 4096 ids by default; the end of a chunk is cut into powers of two, so nothing is padded.
 
@@ -182,23 +243,36 @@ def pack_documents(
     scratch = Scratch(docs.sparkSession, "packing")
     kind = dict(docs.dtypes)[id_column]
     rows = docs.select(F.col(id_column).alias("id"), F.col("source").cast("string").alias("source"), "text")
-    chunks = scratch.save(
-        rows.mapInArrow(
-            _chunks(tokenizer, end_id, chunk_tokens),
-            f"part long, chunk long, docs array<{kind}>, sources array<string>, lengths array<long>, ids binary, tokens long",
-        ),
-        "chunks",
+    columns = (
+        f"part long, chunk long, docs array<{kind}>, sources array<string>, starts array<long>, totals array<long>, "
+        "lengths array<long>, ids binary, width long, tokens long"
     )
+    read = scratch.save(rows.mapInArrow(_chunks(tokenizer, end_id, chunk_tokens, max(1, window // 4)), columns), "read")
     queue = F.explode(F.arrays_zip("sources", "lengths")).alias("q")
-    mass = chunks.select("part", "chunk", queue).groupBy("part", "chunk", F.col("q.sources").alias("source"))
-    mass = scratch.save(mass.agg(F.sum("q.lengths").alias("mass")), "mass")
-    shares = mass.groupBy("source").agg(F.sum("mass").cast("double").alias("share"))
+
+    def masses(chunks: DataFrame, name: str) -> DataFrame:
+        mass = chunks.select("part", "chunk", queue).groupBy("part", "chunk", F.col("q.sources").alias("source"))
+        return scratch.save(mass.agg(F.sum("q.lengths").alias("mass")), name)
+
+    mass = masses(read, "mass")
+    shares = mass.groupBy("source").agg(F.sum("mass").cast("double").alias("mass"))
     if targets is None:
         whole = mass.agg(F.sum("mass").cast("double").alias("whole"))
-        shares = shares.crossJoin(F.broadcast(whole)).select("source", (F.col("share") / F.col("whole")).alias("share"))  # one row
+        shares = shares.crossJoin(F.broadcast(whole)).select("source", "mass", (F.col("mass") / F.col("whole")).alias("share"))  # one row
     else:
         given = F.coalesce(*[F.when(F.col("source") == s, F.lit(float(v))) for s, v in targets.items()], F.lit(0.0))
-        shares = shares.select("source", given.alias("share"))
+        shares = shares.select("source", "mass", given.alias("share"))
+    far = shares.agg(F.coalesce(F.max(F.when(F.col("share") > 0, F.col("mass") / F.col("share"))), F.lit(0.0)).alias("far"))
+    shares = scratch.save(shares.select("source", "share").crossJoin(F.broadcast(far)), "shares")  # one row
+
+    axis = _running(mass, "mass", ["source"], "served").join(shares, "source").groupBy("part", "chunk")
+    axis = scratch.save(axis.agg(F.collect_list(F.struct("source", "share", "served", "far")).alias("axis")), "axis")
+    placed = read.join(axis, ["part", "chunk"]).select("docs", "sources", "starts", "totals", "lengths", "ids", "width", "axis")
+    placed = placed.mapInArrow(_place, f"place double, doc {kind}, source string, start long, total long, ids binary, width long")
+    placed = placed.repartitionByRange("place", "source").sortWithinPartitions("place", "source")
+    chunks = scratch.save(placed.select("doc", "source", "start", "total", "ids", "width").mapInArrow(_gather(chunk_tokens), columns), "chunks")
+    scratch.drop(read)
+    mass = masses(chunks, "mass")
 
     sequences = F.floor(F.col("tokens") / window) + F.bit_count(F.col("tokens") % window)
     spans = chunks.select("part", "chunk", "tokens", sequences.alias("sequences"))
@@ -209,7 +283,9 @@ def pack_documents(
         F.first("base").alias("base"), F.collect_list(F.struct("source", "share", owed.alias("owed"))).alias("plan")
     )
     plan = scratch.save(plan, "plan")
-    ready = chunks.join(plan, ["part", "chunk"]).select("docs", "sources", "lengths", "ids", "base", "plan")
+    ready = chunks.join(plan, ["part", "chunk"]).select(
+        "docs", "sources", "starts", "totals", "lengths", "ids", "width", "base", "plan"
+    )
     pieces = ready.mapInArrow(
         _pack(window, quantum),
         f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",

@@ -96,3 +96,23 @@ def test_targets_and_deficits():
     first = next(K.deficit_round_robin(dict(queues), {"a": 0.5, "b": 0.5}, {"a": 90.0, "b": -90.0}, 400, 50))
     assert first == (0, 0, 90)
     assert K.sequence_lengths(9000, 4096) == [4096, 4096, 512, 256, 32, 8]
+
+
+@pytest.mark.parametrize("targets", [None, {"s0": 0.5, "s1": 0.3, "s2": 0.2}])
+def test_windows_of_a_table_sorted_by_source(make_docs, targets):
+    docs = make_docs([f"word{i % 7} " * (4000 if i == 44 else 200) for i in range(180)]).coalesce(1).sortWithinPartitions("source")
+    source = {r["doc_id"]: r["source"] for r in docs.collect()}
+    mass, total = defaultdict(lambda: defaultdict(int)), defaultdict(int)
+    for doc, _, length, _, _, sequence, _ in pack(docs, window=1024, quantum=64, chunk_tokens=9000, targets=targets):
+        mass[sequence][source[doc]] += length
+        total[source[doc]] += length
+    want = targets or {s: n / sum(total.values()) for s, n in total.items()}
+    until = min(n / want[s] for s, n in total.items())  # then a source is used up
+    at, seen = 0, 0
+    for sequence in sorted(mass):
+        size = sum(mass[sequence].values())
+        at += size
+        if size == 1024 and at < until - 9000:
+            seen += 1
+            assert all(abs(mass[sequence][s] - 1024 * want[s]) <= 400 for s in want), (sequence, dict(mass[sequence]))
+    assert seen > 20
