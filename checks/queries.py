@@ -378,12 +378,16 @@ def _top_details(train):
 
 
 def _predictions(spark, sf):
-    """Test rows with the language as predicted macro and the most frequent detail of a macro."""
+    """Test rows with the language as predicted macro and the most frequent detail of a macro, or of all if it has none."""
     parts = _split(spark, sf)
     tops = _top_details(parts.train)
+    fallback = materialize(hierarchy.fallback_label(parts.train), "fallback").select(F.col("label").alias("fallback"))
     tested = data.with_language(parts.test.withColumnRenamed("texto_original", "texto").drop("texto_processado"))
     for macro, detail in (("macro", "guess"), ("classe_macro", "oracle")):
-        tested = tested.join(tops.select(F.col("classe_macro").alias(macro), F.col("detail").alias(detail)), macro)
+        tested = tested.join(tops.select(F.col("classe_macro").alias(macro), F.col("detail").alias(detail)), macro, "left")
+    tested = tested.join(F.broadcast(fallback), F.lit(True), "left")  # one row
+    for detail in ("guess", "oracle"):
+        tested = tested.withColumn(detail, F.coalesce(detail, "fallback"))
     levels = [
         F.struct(F.lit(level).alias("level"), F.col(expected).alias("expected"), F.col(guess).alias("predicted"))
         for level, expected, guess in (
