@@ -9,6 +9,7 @@ from casewise.llm.nearest import OP5_SQL, op5_vantage_points
 from casewise.llm.packing import op7_mixture_packing
 from casewise.llm.pii import op3_information_pii
 from casewise.llm.shard import op8_shard
+from casewise.llm.token_counts import op11_prefix_token_counts
 from casewise.llm.url_filter import OP2_SQL, op2_url_redirects
 
 QUERIES = {
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_shard": op8_shard,
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
+    "op11_prefix_token_counts": op11_prefix_token_counts,
 }
 
 ORACLE_SQL = {
