@@ -1,5 +1,6 @@
 """The queries of this subpackage, by name, and their SQL forms."""
 
+from casewise.llm.centroids import OP12_SQL, op12_va_file_clusters
 from casewise.llm.chat_format import OP10_SQL, op10_chat_format
 from casewise.llm.decontaminate import OP4_SQL, op4_decontaminate
 from casewise.llm.dedup import op1_bagminhash_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_chat_format": op10_chat_format,
     "op11_prefix_token_counts": op11_prefix_token_counts,
+    "op12_va_file_clusters": op12_va_file_clusters,
 }
 
 ORACLE_SQL = {
@@ -31,4 +33,5 @@ ORACLE_SQL = {
     "op4_decontaminate": OP4_SQL,
     "op5_vantage_points": OP5_SQL,
     "op10_chat_format": OP10_SQL,
+    "op12_va_file_clusters": OP12_SQL,
 }
