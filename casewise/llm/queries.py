@@ -8,6 +8,7 @@ from casewise.llm.language import op6_language_id
 from casewise.llm.licenses import op9_license_scan
 from casewise.llm.nearest import OP5_SQL, op5_vantage_points
 from casewise.llm.packing import op7_mixture_packing
+from casewise.llm.phrases import OP13_SQL, op13_suffix_collocations
 from casewise.llm.pii import op3_information_pii
 from casewise.llm.shard import op8_shard
 from casewise.llm.token_counts import op11_prefix_token_counts
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_chat_format": op10_chat_format,
     "op11_prefix_token_counts": op11_prefix_token_counts,
     "op12_va_file_clusters": op12_va_file_clusters,
+    "op13_suffix_collocations": op13_suffix_collocations,
 }
 
 ORACLE_SQL = {
@@ -34,4 +36,5 @@ ORACLE_SQL = {
     "op5_vantage_points": OP5_SQL,
     "op10_chat_format": OP10_SQL,
     "op12_va_file_clusters": OP12_SQL,
+    "op13_suffix_collocations": OP13_SQL,
 }
