@@ -1,18 +1,16 @@
 """Similar past cases: TF-IDF cosine top-k against a history of any size.
 
-The history is never joined to the queries pair by pair. It is cut into blocks, each block
-multiplies its postings with the query vectors and keeps only its best ``k`` distinct cases per
-query, and a window picks the final ``k``. That is exact: a case that is among the best overall
-is among the best of its block.
+The history is never joined to the queries pair by pair. It is cut into blocks of postings (see
+``postings``), each block that a query can't rule out keeps only its best ``k`` distinct cases for it, and
+a window picks the final ``k``. That is exact: a case that is among the best overall is among the best of its
+block, and no bound on a skipped block or term reaches the k-th score known by then.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 from functools import cached_property
 
-import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -22,6 +20,16 @@ from casewise.config import HISTORY_FEATURES, TOP_K, CasewiseError, TextOptions
 from casewise.functions.labels import history_priority
 from casewise.functions.numbers import percent, round_exact
 from casewise.functions.text import strip, stripped_or_blank
+from casewise.operators.postings import (
+    CASE_KEY,
+    MATCH_SCHEMA,
+    QueryVectors,
+    build_blocks,
+    joined,
+    match_carried,
+    no_match,
+    search_blocks,
+)
 from casewise.operators.prepare import modeling_table, prepare_texts
 from casewise.operators.tfidf import (
     EVERYTHING,
@@ -36,14 +44,10 @@ from casewise.session import materialize
 
 # Bytes of query vectors a broadcast may carry; more go through the block grid.
 MAX_BROADCAST_BYTES = 64 << 20
-# The key that tells cases apart, whatever their ids; rows get one where they have none.
-CASE_KEY = "case_key"
 # Size of one cell of the block grid.
 GRID_HISTORY_ROWS = 20_000
 GRID_QUERY_ROWS = 5_000
 
-_MATCH_SCHEMA = "case_key bigint, history_key bigint, history_id string, number bigint, signature string, score double"
-
 
 def known_macros(records: DataFrame) -> DataFrame:
     """Macro classes that occur in the history, as a written table of a few rows."""
@@ -109,28 +113,19 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _match_broadcast(queries: DataFrame, history: DataFrame, k: int) -> DataFrame:
+def _match_broadcast(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Few queries: they travel to the history blocks, and the history is never shuffled."""
-    spark = queries.sparkSession
-    carried = spark.sparkContext.broadcast(_QueryBlock.by_scope(queries.toArrow().to_pandas()))
-
-    def match(blocks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in blocks:
-            for scope, cases in block.groupby("scope", sort=False):
-                if scope in carried.value:
-                    yield _match_block(cases, carried.value[scope], k)
+    carried = queries.sparkSession.sparkContext.broadcast(QueryVectors.by_scope(queries.toArrow().to_pandas()))
+    return match_carried(blocks, carried, k)
 
-    columns = ["scope", "history_key", "history_id", "number", "signature", "idx", "weight"]
-    return history.select(*columns).mapInPandas(match, _MATCH_SCHEMA)
 
-
-def _match_grid(queries: DataFrame, history: DataFrame, vocabulary: DataFrame, k: int) -> DataFrame:
+def _match_grid(queries: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Many queries: both sides are cut into bounded parts that meet in a grid of cells.
 
     The number of parts follows the size of each scope, so a scope that holds a third of the
-    history is spread over as many cells as it needs.
+    history is spread over as many cells as it needs. A cell searches its most promising block first.
     """
-    sizes = vocabulary.groupBy("scope").agg(F.ceil(F.max("n") / GRID_HISTORY_ROWS).alias("rows_parts"))
+    sizes = blocks.groupBy("scope").agg(F.ceil(F.sum(F.size("lengths")) / GRID_HISTORY_ROWS).alias("rows_parts"))
     asked = queries.groupBy("scope").agg(F.ceil(F.count(F.lit(1)) / GRID_QUERY_ROWS).alias("query_parts"))
     grid = materialize(asked.join(sizes, "scope", "left").na.fill(1, ["rows_parts"]), "grid")
 
@@ -142,8 +137,8 @@ def _match_grid(queries: DataFrame, history: DataFrame, vocabulary: DataFrame, k
 
     cells = ["scope", "row_part", "query_part"]
     cut_history = (
-        history.join(grid, "scope")
-        .withColumn("row_part", part("history_key", "rows_parts"))
+        blocks.join(grid, "scope")
+        .withColumn("row_part", part("block", "rows_parts"))
         .withColumn("query_part", every("query_parts"))
     )
     cut_queries = (
@@ -152,94 +147,14 @@ def _match_grid(queries: DataFrame, history: DataFrame, vocabulary: DataFrame, k
         .withColumn("row_part", every("rows_parts"))
     )
 
-    def match(cases: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        if cases.empty or asked.empty:
-            return _no_match()
-        return _match_block(cases, _QueryBlock(asked), k)
+    def match(cell: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        if cell.empty or asked.empty:
+            return no_match()
+        return joined(search_blocks(cell, QueryVectors.of(asked), k))
 
-    left = cut_history.select(*cells, "history_key", "history_id", "number", "signature", "idx", "weight").groupBy(*cells)
+    left = cut_history.select(*cells, *blocks.drop("scope").columns).groupBy(*cells)
     right = cut_queries.select(*cells, CASE_KEY, "idx", "weight").groupBy(*cells)
-    return left.cogroup(right).applyInPandas(match, _MATCH_SCHEMA)
-
-
-class _QueryBlock:
-    """Query vectors of one scope."""
-
-    def __init__(self, queries: pd.DataFrame):
-        self.keys = queries[CASE_KEY].to_numpy()
-        self.vectors = [
-            (np.asarray(idx, dtype=np.int64), np.asarray(weight, dtype=np.float64))
-            for idx, weight in zip(queries["idx"], queries["weight"])
-        ]
-
-    @classmethod
-    def by_scope(cls, queries: pd.DataFrame) -> dict[str, "_QueryBlock"]:
-        return {scope: cls(rows) for scope, rows in queries.groupby("scope", sort=False)}
-
-
-def _no_match() -> pd.DataFrame:
-    return pd.DataFrame({name: [] for name in (CASE_KEY, "history_key", "history_id", "number", "signature", "score")})
-
-
-def _match_block(cases: pd.DataFrame, queries: _QueryBlock, k: int) -> pd.DataFrame:
-    """The best ``k`` distinct cases of one history block for each query.
-
-    Cases are put in record order first, so among equal scores a lower row number wins.
-    """
-    cases = cases.sort_values(["number", "history_id", "signature"], kind="stable", na_position="first").drop_duplicates("signature")
-    rows = len(cases)
-    lengths = cases["idx"].str.len().to_numpy()
-    flat_terms = np.concatenate([np.asarray(idx, dtype=np.int64) for idx in cases["idx"]])
-    flat_weights = np.concatenate([np.asarray(w, dtype=np.float64) for w in cases["weight"]])
-    by_term = np.argsort(flat_terms, kind="stable")
-    posting_rows = np.repeat(np.arange(rows), lengths)[by_term]
-    posting_weights = flat_weights[by_term]
-    terms, starts = np.unique(flat_terms[by_term], return_index=True)
-    spans = dict(zip(terms.tolist(), zip(starts.tolist(), np.append(starts[1:], len(by_term)).tolist())))
-
-    query_at: list[int] = []
-    row_at: list[np.ndarray] = []
-    score_at: list[np.ndarray] = []
-    for at, (idx, weight) in enumerate(queries.vectors):
-        scores = np.zeros(rows)
-        for term, value in zip(idx.tolist(), weight.tolist()):
-            span = spans.get(term)
-            if span:
-                low, high = span
-                scores[posting_rows[low:high]] += posting_weights[low:high] * value
-        scores = np.round(scores, 6)
-        chosen = _top(scores, k)
-        query_at.append(np.full(len(chosen), at))
-        row_at.append(chosen)
-        score_at.append(scores[chosen])
-    if not row_at:
-        return _no_match()
-    rows_taken = np.concatenate(row_at)
-    taken = cases.iloc[rows_taken]
-    return pd.DataFrame(
-        {
-            CASE_KEY: queries.keys[np.concatenate(query_at)],
-            "history_key": taken["history_key"].to_numpy(),
-            "history_id": taken["history_id"].to_numpy(),
-            "number": taken["number"].to_numpy(),
-            "signature": taken["signature"].to_numpy(),
-            "score": np.concatenate(score_at),
-        }
-    )
-
-
-def _top(scores: np.ndarray, k: int) -> np.ndarray:
-    """Row numbers of the ``k`` highest scores; equal scores go by row number."""
-    if k <= 0:
-        return np.empty(0, dtype=np.int64)
-    if len(scores) > k:
-        bound = np.partition(scores, len(scores) - k)[len(scores) - k]
-        above = np.flatnonzero(scores > bound)
-        level = np.flatnonzero(scores == bound)[: k - len(above)]
-        rows = np.concatenate([above, level])
-    else:
-        rows = np.arange(len(scores))
-    return rows[np.lexsort((rows, -scores[rows]))]
+    return left.cogroup(right).applyInPandas(match, MATCH_SCHEMA)
 
 
 def similar_cases(
@@ -318,21 +233,20 @@ class HistoryIndex:
 
     def prepare(self) -> None:
         """Make the vectors of both scopes now, for searches that follow."""
-        _ = self._space, self._macro_vectors, self._all_vectors
+        _ = self._space, self._macro_blocks, self._all_blocks
 
     @property
     def _cases(self) -> DataFrame:
         return self.history.drop("text", "macro_class", "detailed_class")
 
     @cached_property
-    def _macro_vectors(self) -> DataFrame:
-        return materialize(self._vectors(self._cases), "history-vectors", partition_by="scope")
+    def _macro_blocks(self) -> DataFrame:
+        return build_blocks(self._vectors(self._cases))
 
     @cached_property
-    def _all_vectors(self) -> DataFrame:
-        """Vectors of the global scope, made when the first query asks for them."""
-        everything = self._cases.withColumn("scope", F.lit(EVERYTHING))
-        return materialize(self._vectors(everything), "history-vectors-all")
+    def _all_blocks(self) -> DataFrame:
+        """Blocks of the global scope, made when the first query asks for them."""
+        return build_blocks(self._vectors(self._cases.withColumn("scope", F.lit(EVERYTHING))))
 
     def match(self, queries: DataFrame, k: int = TOP_K, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
         """Best ``k`` distinct history cases per query, as (case_key, rank, history_key, history_id, score).
@@ -348,19 +262,19 @@ class HistoryIndex:
         )
         asked = materialize(self._vectors(scoped), "query-vectors")
         scopes = materialize(asked.select("scope").distinct(), "query-scopes")
-        # Only the vectors, and only the partitions, of the scopes asked for are made and read.
+        # Only the blocks of the scopes asked for are made and read.
         everywhere = F.col("scope") == EVERYTHING
         of = scopes.agg(F.max(everywhere).alias("all"), F.max(~everywhere).alias("own")).first()
-        parts = [self._all_vectors] if of["all"] else []
+        parts = [self._all_blocks] if of["all"] else []
         if of["own"] or not parts:
-            parts.append(self._macro_vectors)
-        cases = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        cases = cases.join(scopes, "scope", "left_semi")
+            parts.append(self._macro_blocks)
+        blocks = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        blocks = blocks.join(scopes, "scope", "left_semi")
         size = asked.agg(F.sum(F.size("idx") * 12 + 64)).first()[0] or 0
         if size <= max_broadcast_bytes:
-            found = _match_broadcast(asked, cases, k)
+            found = _match_broadcast(asked, blocks, k)
         else:
-            found = _match_grid(asked, cases, self.vocabulary, k)
+            found = _match_grid(asked, blocks, k)
         return _best(found, k)
 
     def search(
