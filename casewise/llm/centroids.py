@@ -243,16 +243,14 @@ def _last_round(assigner: Assigner, dimensions: int):
     return last
 
 
-def _moved_centroids(state: DataFrame, count: np.ndarray, total: list[list[int]]) -> np.ndarray:
-    """Add the tasks' sums to ``count`` and ``total`` in place; the floor of the means, empty clusters as None rows."""
-    sums = state.where(F.col("key").isNull())
-    rows = sums.groupBy("cluster").agg(F.sum("count").alias("count")).collect()
-    for row in rows:
-        count[row["cluster"]] += row["count"]
-    parts = sums.select("cluster", F.posexplode("sums").alias("d", "v")).groupBy("cluster", "d").agg(F.sum("v").alias("v"))
-    for row in parts.collect():  # at most clusters x dimensions rows
-        total[row["cluster"]][row["d"]] += row["v"]
-    return count
+def _add_sums(state: DataFrame, count: np.ndarray, total: list[list[int]]) -> None:
+    """Add the tasks' sums to ``count`` and ``total`` in place: one row per cluster comes to the driver."""
+    dimensions = range(len(total[0]))
+    sums = state.where(F.col("key").isNull()).groupBy("cluster")
+    for row in sums.agg(F.sum("count").alias("count"), *[F.sum(F.get("sums", F.lit(d))).alias(f"s{d}") for d in dimensions]).collect():
+        cluster = row["cluster"]
+        count[cluster] += row["count"]
+        total[cluster] = [old + row[f"s{d}"] for d, old in enumerate(total[cluster])]
 
 
 def cluster_vectors(
@@ -318,7 +316,7 @@ def cluster_vectors(
             names = ["key", "cells", "error", "cluster"]
             after = told.where(stays).select(*names).union(fetched.where(F.col("key").isNotNull()).select(*names))
             made = [told, fetched]
-        _moved_centroids(fetched, counts, totals)
+        _add_sums(fetched, counts, totals)
         moved = [[t // int(counts[c]) for t in totals[c]] if counts[c] else centroids[c] for c in range(k)]
         centroids = np.array(moved, np.int64)
         for old in written:  # nothing reads the state before last any more
