@@ -68,7 +68,7 @@ def fold_events(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
-    """One row per conversation: ``formatted``, ``loss_spans`` (start, length in its code points) and ``loss_turns``.
+    """One row per conversation: ``formatted``, ``turn_starts``, ``loss_spans`` (turn, start, length in its code points) and ``loss_turns``.
 
     A turn is ``<|im_start|>role``, a line end, the escaped text, ``<|im_end|>`` and a line end; messages
     stand by position, then role, text and identity. A loss span covers just the escaped text of a
@@ -88,10 +88,14 @@ def render(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> Dat
         F.collect_list(F.struct("end", "turn", F.col("role").isin(*loss_roles).alias("loss"), span.alias("span")))
     )
     grouped = turns.groupBy("conv_id").agg(parts.alias("parts"))
+    numbered = F.transform(
+        "parts", lambda p, i: F.struct(p["loss"].alias("loss"), F.struct(i.alias("turn"), p["span"]["start"], p["span"]["length"]).alias("span"))
+    )
     return grouped.select(
         "conv_id",
         F.array_join(F.col("parts")["turn"], "").alias("formatted"),
-        F.filter("parts", lambda p: p["loss"])["span"].alias("loss_spans"),
+        F.transform("parts", lambda p: p["end"] - F.length(p["turn"])).alias("turn_starts"),
+        F.filter(numbered, lambda p: p["loss"])["span"].alias("loss_spans"),
         F.col("parts")["loss"].alias("loss_turns"),
     )
 
@@ -110,6 +114,21 @@ def read_back(formatted: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def read_loss(formatted: Column, turn_starts: Column, spans: Column) -> Column:
+    """The text under the loss mask, unescaped: every span cut out of the formatted conversation, in order.
+
+    The conversation is split at its turn marks once and a span cut from its turn's piece, so the work grows with its length.
+    """
+    pieces = F.split(formatted, r"<\|im_start\|>")
+
+    def cut(span: Column) -> Column:
+        piece = F.element_at(pieces, span["turn"] + 2)
+        begin = span["start"] - F.get(turn_starts, span["turn"]) - len(TURN_START) + 1
+        return unescape(F.substr(piece, begin.cast("int"), span["length"].cast("int")))
+
+    return F.array_join(F.transform(spans, cut), "")
+
+
 def format_chats(events: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
     """Rendered conversations of an event log; see :func:`fold_events` and :func:`render`."""
     return render(fold_events(events), loss_roles)
@@ -148,8 +167,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     chats = format_chats(conversation_events(rows.union(hostile))).withColumn("turns", read_back(F.col("formatted")))
     lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
-    masked = F.filter(F.arrays_zip("turns", "loss_turns"), lambda t: t["loss_turns"])
-    loss = F.array_join(F.transform(masked, lambda t: t["turns"]["text"]), "")
+    loss = read_loss(F.col("formatted"), F.col("turn_starts"), F.col("loss_spans"))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
@@ -168,9 +186,9 @@ WITH turns AS (
 )
 SELECT conv_id,
     count(*) AS n_turns,
-    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+    sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
     coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-    sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
     sum(12 + length(role) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 10 + 1)::BIGINT AS formatted_chars
 FROM turns GROUP BY conv_id
 """

@@ -57,18 +57,20 @@ def test_query_digests(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in C.op10_chat_format(spark, str(tmp_path)).collect()}
     assert set(got) == {1, None, -1}
-    assert got[1]["n_turns"] == 3  # different rows of a turn stay apart, equal ones are one event
-    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nuser\na\nassistant\nb\n").hexdigest()
+    assert got[1]["n_turns"] == 4  # every row of the table is a turn, equal rows too
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"user\n\nuser\na\nuser\na\nassistant\nb\n").hexdigest()
+    assert got[1]["loss_sha256"] == hashlib.sha256(b"b").hexdigest()
     assert got[-1]["loss_sha256"] == hashlib.sha256(C.HOSTILE.encode()).hexdigest()
     assert (got[None]["n_turns"], got[None]["loss_chars"]) == (1, 0)
 
 
 def test_query_equals_sql_with_repeated_rows(spark, tmp_path):
     duckdb = pytest.importorskip("duckdb")
-    rows = [(1, 0, "user", "a")] * 3 + [(1, 1, "assistant", "b <| \\")] * 2 + [(1, 0, None, None)] * 2 + [(2, 0, "assistant", "c")]
+    rows = [(3, None, "user", "z"), (3, 0, "assistant", "<|é|>"), (3, None, None, None), (3, 1, "assistant", "\\<|im_start|>x")]
+    rows += [(1, 0, "user", "a")] * 3 + [(1, 1, "assistant", "b <| \\")] * 2 + [(1, 0, None, None)] * 2 + [(2, 0, "assistant", "c")]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     got = [tuple(r) for r in C.op10_chat_format(spark, str(tmp_path)).collect()]
     with duckdb.connect() as db:
         db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
         want = db.execute(C.OP10_SQL).fetchall()
-    assert sorted(got) == sorted(want) and {r[0]: r[1] for r in got} == {1: 7, 2: 1, -1: 2}
+    assert sorted(got) == sorted(want) and {r[0]: r[1] for r in got} == {1: 7, 2: 1, 3: 4, -1: 2}
