@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewise.llm.common import Scratch, list_array, table
+from casewise.llm.common import Scratch, list_array, table, text_slices
 from casewise.llm.tokens import word_ids
 
 SEQUENCE_TOKENS = 4096
@@ -54,15 +54,16 @@ def _chunks(path: str, end_id: int, most: int, segment: int):
         chunk, held, segments, kind = 0, 0, [], pa.int64()
         for batch in batches:
             kind = batch.column("id").type
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
-                ids, names, texts = (some.column(c).to_pylist() for c in ("id", "source", "text"))
-                for doc, name, text in zip(ids, names, texts):
-                    part = (store.encode(text) if text else b"") + end
-                    total = len(part) // width
-                    for start in range(0, total, segment):
-                        segments.append((doc, name or "", start, total, part[start * width : (start + segment) * width]))
-                    held += total
+            ids, names = (batch.column(c).to_pylist() for c in ("id", "source"))
+            for first, past, data, bounds in text_slices(batch.column("text")):
+                tokens, counts = store.encode_slice(data, bounds)
+                raw, at = tokens.tobytes(), 0
+                for doc, name, count in zip(ids[first:past], names[first:past], counts.tolist()):
+                    part = raw[at : at + count * width] + end
+                    at += count * width
+                    for start in range(0, count + 1, segment):
+                        segments.append((doc, name or "", start, count + 1, part[start * width : (start + segment) * width]))
+                    held += count + 1
                     if held >= most:
                         yield _flush(chunk, segments, kind, width)
                         chunk, held, segments = chunk + 1, 0, []

@@ -27,11 +27,26 @@ TEXTS = [
 
 def test_word_ids_equal_the_tokenizer(plain):
     store = WordIds(PATH)
-    assert store.direct and store.parts and store.lowers
+    assert store.lowers and store.direct and store.stops
     for text in TEXTS * 2:
         assert np.frombuffer(store.encode(text), store.kind).tolist() == plain(text), text
 
 
+def test_slices_with_a_small_store(plain, monkeypatch):
+    monkeypatch.setattr("casewise.llm.tokens.KEPT_WORDS", 3)
+    store = WordIds(PATH)
+    texts = [*TEXTS, "(306) a.b@c.de", "don'T é's", "w" * 500 + " é" * 300, *TEXTS, "A <|endoftext|>B"]
+    data = [t.encode() for t in texts]
+    bounds = np.cumsum([0, *map(len, data)])
+    ids, counts = store.encode_slice(np.frombuffer(b"".join(data), np.uint8), bounds)
+    assert np.split(ids, np.cumsum(counts)[:-1])[0].tolist() == plain(texts[0])
+    assert [part.tolist() for part in np.split(ids, np.cumsum(counts)[:-1])] == [plain(t) for t in texts]
+    few = WordIds(PATH)
+    for text in texts:
+        assert np.frombuffer(few.encode(text), few.kind).tolist() == plain(text)
+    assert len(few.keys) <= 3 + max(len(text.split()) for text in texts)
+
+
 def pack(docs, **options):
     return [tuple(r) for r in K.pack_documents(docs, PATH, **options).collect()]
 
