@@ -23,7 +23,9 @@ LONGEST, MINIMUM, COVERED_PERCENT, KEPT, UNKNOWN = 4, 30, 80, 2000, "und"
 #: Suffixes that a group may hold, about 10 MB; with few suffixes, groups are at least so many per shuffle partition.
 GROUP_SUFFIXES, GROUPS_PER_PARTITION = 200_000, 4
 #: Words and their bytes that a task counts before it hands them on.
-HELD_WORDS, HELD_BYTES = 300_000, 32 << 20
+HELD_WORDS, HELD_BYTES = 200_000, 32 << 20
+#: Prefixes and suffixes that a task gathers before it counts or packs them.
+HELD_PREFIXES, HELD_SUFFIXES = 2_000_000, 400_000
 
 _KIND = np.zeros(256, np.uint8)  # 0: a word's byte, 1: blank, 2: end of a piece
 _KIND[[0x20, 0x09]] = 1
@@ -155,14 +157,32 @@ def _deal(columns: list[np.ndarray], hot: list[np.ndarray]) -> tuple[np.ndarray,
     return prefix, deep
 
 
-def _count_prefixes(frequent: np.ndarray, hot: list[np.ndarray], longest: int):
-    """(prefix, count) of the prefixes one word longer than those that were too frequent last."""
+def _count_prefixes(frequent: np.ndarray, hot: list[np.ndarray], longest: int, share: float):
+    """(prefix, count) of the prefixes one word longer than those that were too frequent last.
+
+    Counts of less than a quarter of ``share`` of what a task has gathered stay behind. A prefix that makes up ``share`` of
+    all words loses less than a quarter of its count so, and a task hands on at most ``4 / share`` rows at a time.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            often = 4 * n >= share * size
+            keys, n = keys[often], n[often]
+            return pa.RecordBatch.from_arrays([_signed(keys), pa.array(n, pa.int64())], ["prefix", "count"])
+
         for _, words in _read(batches):
             prefix, deep = _deal(_suffixes(words, frequent, longest), hot)
-            keys, n = np.unique(prefix[deep == len(hot) + 1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n, pa.int64())], ["prefix", "count"])
+            held.append(prefix[deep == len(hot) + 1])
+            size += len(held[-1])
+            if size > HELD_PREFIXES:
+                yield flush()
+                held, size = [], 0
+        if size:
+            yield flush()
 
     return count
 
@@ -187,23 +207,53 @@ def _distinct(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def _deal_suffixes(frequent: np.ndarray, hot: list[np.ndarray], longest: int, groups: int):
-    """Distinct suffixes of a slice with their number of occurrences and their group."""
-    names = [f"h{d}" for d in range(1, longest + 1)]
+    """Distinct suffixes of a task's last texts with their number of occurrences, packed: a row for each group they go to.
+
+    A pack holds the columns one after the other, in the order of the first word, which the shuffle compresses well.
+    """
+
+    def packs(held: list[list[np.ndarray]]) -> pa.RecordBatch:
+        columns = [np.concatenate(parts) for parts in zip(*held)]
+        order, first, count = _distinct(columns)
+        columns = [column[order[first]] for column in columns]
+        prefix, deep = _deal(columns, hot)
+        group = (prefix % np.uint64(groups)).astype(np.int64)
+        order = np.lexsort((columns[0], group))
+        group, parts = group[order], [c[order] for c in (*columns, count.astype("<i4"), deep.astype(np.uint8))]
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])).tolist() + [len(group)]
+        data = [b"".join([part[a:b].tobytes() for part in parts]) for a, b in zip(cuts, cuts[1:])]
+        return pa.RecordBatch.from_arrays([pa.array(group[cuts[:-1]]), pa.array(data, pa.binary())], ["group", "pack"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = []
+        size = 0
         for _, words in _read(batches):
             columns = _suffixes(words, frequent, longest)
-            if not len(columns[0]):
-                continue
-            order, first, count = _distinct(columns)
-            columns = [column[order[first]] for column in columns]
-            prefix, deep = _deal(columns, hot)
-            group = (prefix % np.uint64(groups)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(group), *map(_signed, columns), pa.array(deep), pa.array(count, pa.int64())], ["group", *names, "deep", "count"])
+            if len(columns[0]):
+                held.append(columns)
+                size += len(columns[0])
+            if size > HELD_SUFFIXES:
+                yield packs(held)
+                held, size = [], 0
+        if held:
+            yield packs(held)
 
     return deal
 
 
+def _unpack(packs: list[bytes], longest: int) -> list[np.ndarray]:
+    """The columns of all packs: words, counts, lengths of the prefixes."""
+    kinds = [np.dtype("<i8")] * longest + [np.dtype("<i4"), np.dtype("u1")]
+    width, parts = sum(kind.itemsize for kind in kinds), []
+    for pack in packs:
+        rows, at, columns = len(pack) // width, 0, []
+        for kind in kinds:
+            columns.append(np.frombuffer(pack, kind, rows, at))
+            at += rows * kind.itemsize
+        parts.append(columns)
+    return [np.concatenate(column) for column in zip(*parts)]
+
+
 def _subtree(longest: int, minimum: int):
     """The nodes of a group's subtree, two words deep at least, with their counts.
 
@@ -213,16 +263,16 @@ def _subtree(longest: int, minimum: int):
     names = [f"h{d}" for d in range(1, longest + 1)]
 
     def build(group: pa.Table) -> pa.Table:
-        columns = [group[name].to_numpy() for name in names]
+        *columns, count, deep = _unpack(group["pack"].to_pylist(), longest)
         order = np.lexsort(columns[::-1])
-        count, deep = group["count"].to_numpy()[order], group["deep"].to_numpy()[order]
+        count, deep = count[order].astype(np.int64), deep[order]
         new = np.zeros(len(order), bool)
-        new[:1] = True
+        new[0] = True
         nodes = []
         for d, column in enumerate(columns, 1):
             column = column[order]
             new[1:] |= column[1:] != column[:-1]
-            if d == 1 or not len(order):
+            if d == 1:
                 continue
             first = np.flatnonzero(new)
             total = np.add.reduceat(count, first)
@@ -230,7 +280,7 @@ def _subtree(longest: int, minimum: int):
             rows = order[first[kept]]
             path = [columns[e][rows] if e < d else np.zeros(len(rows), np.int64) for e in range(longest)]
             nodes.append(pa.table([*path, np.full(len(rows), d, np.int32), total[kept]], [*names, "depth", "a"]))
-        return pa.concat_tables(nodes) if nodes else pa.table({n: pa.array([], pa.int32() if n == "depth" else pa.int64()) for n in [*names, "depth", "a"]})
+        return pa.concat_tables(nodes)
 
     return build
 
@@ -327,7 +377,7 @@ def mine_phrases(
     Words are told apart by 64-bit hashes of language and word. The texts are scanned once for the words, once for each
     length of prefixes that are too frequent for a group, and once for the suffixes. Words below ``minimum`` are cut
     out by a bitmap of 8 MB, which may let others through but never loses one. A task hands on the distinct suffixes of
-    each 2 MB of text, so a phrase that stands everywhere is a row per slice, not per occurrence. Groups hold about
+    each 400,000 in a row, so a phrase that stands everywhere is sent once for those, not per occurrence. Groups hold about
     ``group_suffixes`` occurrences, fewer where that would leave shuffle partitions without work.
 
     A null text is empty, a null language is ``und``; repeated rows count each time; nothing frequent, or an empty
@@ -352,14 +402,15 @@ def mine_phrases(
     hot: list[np.ndarray] = []
     prefixes = words.select(F.col("key").alias("prefix"), F.col("a").alias("count"))
     while len(hot) < longest - 1:
-        full = scratch.save(prefixes.where(F.col("count") > room), "full")
+        # Counts over the texts may miss less than a quarter, see there; which prefixes are longer changes no result.
+        full = scratch.save(prefixes.where(F.col("count") > (0.75 * room if hot else room)), "full")
         if full.isEmpty():
             break
         hot.append(bitmap_of(full, "prefix"))
-        prefixes = rows.mapInArrow(_count_prefixes(frequent, hot, longest), "prefix long, count long")
+        prefixes = rows.mapInArrow(_count_prefixes(frequent, hot, longest, room / whole), "prefix long, count long")
         prefixes = prefixes.groupBy("prefix").agg(F.sum("count").alias("count"))
 
-    suffixes = rows.mapInArrow(_deal_suffixes(frequent, hot, longest, groups), f"group long, {keys}, deep long, count long")
+    suffixes = rows.mapInArrow(_deal_suffixes(frequent, hot, longest, groups), "group long, pack binary")
     nodes = suffixes.groupBy("group").applyInArrow(_subtree(longest, minimum), f"{keys}, depth int, a long")
     nodes = scratch.save(nodes, "nodes")
     phrases = nodes.groupBy(*names, "depth").agg(F.sum("a").alias("a")).where(F.col("a") >= minimum)
