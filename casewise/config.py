@@ -99,7 +99,8 @@ class TextOptions:
 class TrainOptions:
     """Split, vocabulary and solver settings of the classifier.
 
-    ``tolerance`` leaves a mean gradient below 1e-4, the usual stopping rule of L-BFGS solvers.
+    The solver stops when no component of the mean gradient exceeds ``tolerance``. A model with at most
+    ``task_values`` vector entries is fitted inside one task, a larger one by passes over all tasks.
     """
 
     test_size: float = 0.2
@@ -107,7 +108,7 @@ class TrainOptions:
     max_features: int = 5000
     max_iter: int = 2000
     tolerance: float = 1e-6
-    parallel_fits: int = 4
+    task_values: int = 1_000_000
 
 
 HISTORY_FEATURES = 4000

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -10,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casewise.config import CasewiseError, TextOptions, TrainOptions
-from casewise.operators.linear import LINEAR_SCHEMA, LinearModel, LinearScorer, fit_logistic
+from casewise.operators.linear import LinearScorer
+from casewise.operators.solver import fit_models
 from casewise.operators.tfidf import (
     EVERYTHING,
     MAX_ENTRIES,
@@ -121,8 +121,8 @@ def train_hierarchy(
 ) -> HierarchyModel:
     """Fit the macro model, one detailed model per macro and the global detailed model.
 
-    All vocabularies are fitted in one job and all vectors written once, partitioned by scope;
-    each fit then reads only the partition of its own scope. Fits run a few at a time.
+    All vocabularies are fitted in one job, all vectors are written once, and all models are fitted together,
+    in a number of jobs that does not grow with the macros.
     """
     options, settings = options or TextOptions(), settings or TrainOptions()
     docs = with_terms(
@@ -143,38 +143,33 @@ def train_hierarchy(
     if classes.isEmpty():
         raise CasewiseError("Não foi possível treinar a camada detalhada com o dataset atual.")
     both = docs.withColumn("scope", F.explode(F.array("scope", F.lit(EVERYTHING))))
-    vectors = materialize(vectorize(both, vocabulary).drop("terms"), "vectors", partition_by="scope")
-    dimensions = {row[0]: row[1] for row in vocabulary.groupBy("scope").agg(F.max("place")).collect()}
-
-    def fit(name: str, scope: str, label: str) -> tuple[str, LinearModel]:
-        rows = vectors.where(F.col("scope") == scope).select(label, "idx", "weight")
-        return name, fit_logistic(rows, label, dimensions.get(scope, 1), settings)
-
-    fits = [
-        (MACRO_MODEL, EVERYTHING, "classe_macro"),
-        (GLOBAL_DETAIL_MODEL, EVERYTHING, "classe_detalhada"),
-    ]
-    constants = []
-    for row in classes.orderBy("macro_class").collect():
-        scope = f"macro:{row['macro_class']}"
-        if row["detail_count"] == 1:
-            constants.append((f"detail:{scope}", LinearModel.constant(row["detail_options"][0])))
-        else:
-            fits.append((f"detail:{scope}", scope, "classe_detalhada"))
-    with ThreadPoolExecutor(settings.parallel_fits) as pool:
-        models = list(pool.map(lambda task: fit(*task), fits)) + constants
-
-    spark = train.sparkSession
-
-    def table(chosen: list[tuple[str, LinearModel]], name: str) -> DataFrame:
-        rows = [row for model, fitted in chosen for row in fitted.rows(model)]
-        return materialize(spark.createDataFrame(rows, LINEAR_SCHEMA), name)
-
+    vectors = materialize(vectorize(both, vocabulary).drop("terms"), "vectors")
+    linear = fit_models(_examples(vectors, vocabulary), settings)
     return HierarchyModel(
         vocabulary=vocabulary,
-        macro_linear=table([m for m in models if m[0] == MACRO_MODEL], "macro-model"),
-        detailed_linear=table([m for m in models if m[0] != MACRO_MODEL], "detailed-models"),
+        macro_linear=linear.where(F.col("model") == MACRO_MODEL),
+        detailed_linear=linear.where(F.col("model") != MACRO_MODEL),
         taxonomy=classes,
         fallback=fallback_label(train).first()["label"],
         options=options,
     )
+
+
+def _examples(vectors: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """What each vector is an example of: its macro and its detail over all macros, or its detail inside its macro."""
+
+    def example(model: Column, label: str) -> Column:
+        return F.struct(model.alias("model"), F.col(label).alias("label"))
+
+    shared = F.array(
+        example(F.lit(MACRO_MODEL), "classe_macro"), example(F.lit(GLOBAL_DETAIL_MODEL), "classe_detalhada")
+    )
+    own = F.array(example(F.concat(F.lit("detail:"), F.col("scope")), "classe_detalhada"))
+    blank = (F.col("scope") != EVERYTHING) & (F.col("classe_detalhada") == "")
+    dimensions = vocabulary.groupBy("scope").agg(F.max("place").alias("dimension"))
+    return (
+        vectors.where(~F.coalesce(blank, F.lit(False)))
+        .join(dimensions, "scope", "left")
+        .withColumn("dimension", F.coalesce("dimension", F.lit(1)))
+        .select("dimension", "idx", "weight", F.inline(F.when(F.col("scope") == EVERYTHING, shared).otherwise(own)))
+    )

@@ -9,10 +9,8 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import CountVectorizer
-from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as ST
 
 from casewise.functions.text import WORD
 from casewise.functions.unicode import strip_accents
@@ -233,27 +231,6 @@ def explode_vectors(vectors: DataFrame, id_column: str = "id") -> DataFrame:
     )
 
 
-def as_ml_vectors(vectors: DataFrame, dimension: int, keep: list[str]) -> DataFrame:
-    """``idx``/``weight`` arrays as a Spark ML vector column named ``features``.
-
-    The struct already has the layout of a sparse vector; the Arrow pass-through only gives it
-    the vector type, no Python code touches a row.
-    """
-    shaped = vectors.select(
-        *keep,
-        F.struct(
-            F.lit(0).cast("tinyint").alias("type"),
-            F.lit(dimension).alias("size"),
-            F.col("idx").alias("indices"),
-            F.col("weight").alias("values"),
-        ).alias("features"),
-    )
-    schema = ST.StructType(
-        [shaped.schema[name] for name in keep] + [ST.StructField("features", VectorUDT())]
-    )
-    return shaped.mapInArrow(lambda batches: batches, schema)
-
-
 def _prefixed(prefix: Column, terms: Column) -> Column:
     """Every term behind a prefix. Joined and split again rather than transformed: the prefix may
     come from a Python UDF, which Spark cannot evaluate inside a lambda."""
