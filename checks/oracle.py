@@ -649,14 +649,15 @@ def oracle_sql() -> dict[str, str]:
     )
     out["ambiguity"] = _sql("SELECT id, lexical_ambiguous AS ambiguous_case FROM lexical")
     out["parse_responses"] = _sql(
-        f"""SELECT id, body, CASE WHEN p_error IS NULL THEN 'ok' ELSE 'invalid' END AS status, p_error AS error,
-                   CASE WHEN p_error IS NULL THEN p_class END AS detailed_class,
-                   CASE WHEN p_error IS NULL THEN CASE WHEN p_justification = '' THEN {_quote(refine.NO_JUSTIFICATION)}
+        f"""SELECT id, body, coalesce(error, p_error) AS error,
+                   CASE WHEN error IS NOT NULL THEN 'failed' WHEN p_error IS NULL THEN 'ok' ELSE 'invalid' END AS status,
+                   CASE WHEN usable THEN p_class END AS detailed_class,
+                   CASE WHEN usable THEN CASE WHEN p_justification = '' THEN {_quote(refine.NO_JUSTIFICATION)}
                         ELSE p_justification END END AS justification,
-                   CASE WHEN p_error IS NULL THEN CASE WHEN p_priority = '' THEN {_quote(refine.NO_PRIORITY)}
+                   CASE WHEN usable THEN CASE WHEN p_priority = '' THEN {_quote(refine.NO_PRIORITY)}
                         ELSE p_priority END END AS priority,
-                   CASE WHEN p_error IS NULL THEN p_ambiguous END AS ambiguous_case
-            FROM parsed WHERE body IS NOT NULL"""
+                   CASE WHEN usable THEN p_ambiguous END AS ambiguous_case
+            FROM (SELECT *, error IS NULL AND p_error IS NULL AS usable FROM parsed)"""
     )
     out["refine_with_fallback"] = _sql(
         f"""SELECT id, provider, 'remote' AS requested_provider, fallback_reason,

@@ -515,7 +515,7 @@ def _ambiguity(spark, sf):
 @query("parse_responses")
 def _parse_responses(spark, sf):
     cases = _contexts(spark, sf)
-    answers = data.responses(cases).where(F.col("body").isNotNull()).select("id", "body")
+    answers = data.responses(cases).select("id", "body", "error")
     parsed = refine.parse_responses(cases.select("id", "valid_classes").join(answers, "id"))
     return parsed.drop("valid_classes")
 
@@ -623,15 +623,17 @@ def _trained(spark, sf) -> TrainingResult:
 
 
 def _coefficients(model, linear):
-    """A stored linear model as (model, label, term, coefficient) rows."""
-    long = linear.select("model", "label", F.posexplode("coefficients").alias("at", "coefficient")).where("coefficient != 0")
-    scoped = long.withColumn(
-        "scope",
-        F.when(F.col("model").startswith("detail:macro:"), F.substring("model", 8, 1 << 30)).otherwise(F.lit(tfidf.EVERYTHING)),
-    ).withColumn("place", F.col("at") + 1)
-    return scoped.join(model.vocabulary.select("scope", "place", "term"), ["scope", "place"]).select(
-        "model", "label", "term", round_exact(F.col("coefficient"), 6).alias("coefficient")
+    """A stored linear model as (model, label, term, coefficient) rows; the intercept has no term."""
+    scope = F.when(F.col("model").startswith("detail:macro:"), F.substring("model", 8, 1 << 30)).otherwise(
+        F.lit(tfidf.EVERYTHING)
     )
+    shown = round_exact(F.col("coefficient"), 6).alias("coefficient")
+    long = linear.select(
+        "model", "label", scope.alias("scope"), F.posexplode("coefficients").alias("at", "coefficient")
+    ).withColumn("place", F.col("at") + 1)
+    terms = long.join(model.vocabulary.select("scope", "place", "term"), ["scope", "place"])
+    starts = linear.select("model", "label", F.lit(None).cast("string").alias("term"), F.col("intercept").alias("coefficient"))
+    return terms.select("model", "label", "term", "coefficient").unionByName(starts).select("model", "label", "term", shown)
 
 
 @query("train_macro")
