@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from casewise.functions.text import WORD
 from casewise.functions.unicode import strip_accents
+from casewise.operators.frequent import COUNTERS, DOCUMENT, frequent_terms, least_counts
 from casewise.session import materialize
 
 EVERYTHING = "all"
 _KEY = "\u001f"
 _NEXT = "\u001e"
-_DOCUMENT = ""
 _ROW = "_row_key"
 
 # Vocabulary entries the driver may hold; larger vocabularies are joined instead.
@@ -57,48 +57,18 @@ def with_terms(docs: DataFrame, text_column: str, output: str = "terms") -> Data
     )
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """Total count and document count of every term in every scope.
-
-    Terms are sorted inside each row, so one explode yields both counts: every occurrence adds to
-    the total, and only the first of a document to the document count. An empty term marks the
-    document itself, which makes the number of documents per scope come out of the same pass.
-    """
-    ordered = docs.select(
-        "scope", F.sort_array(F.concat(F.array(F.lit(_DOCUMENT)), F.col("terms"))).alias("terms")
-    )
-    marked = F.transform(
-        "terms",
-        lambda term, at: F.struct(
-            term.alias("term"),
-            F.when(F.get("terms", at - 1) == term, F.lit(0)).otherwise(F.lit(1)).alias("first"),
-        ),
-    )
-    return (
-        ordered.select("scope", F.inline(marked))
-        .groupBy("scope", "term")
-        .agg(F.count(F.lit(1)).alias("total"), F.sum("first").alias("df"))
-    )
-
-
-def fit_vocabulary(docs: DataFrame, max_features: int, overall: str | None = None) -> DataFrame:
+def fit_vocabulary(
+    docs: DataFrame, max_features: int, overall: str | None = None, counters: int = COUNTERS
+) -> DataFrame:
     """The ``max_features`` most frequent terms per scope, with their idf; ties go by term.
 
-    ``docs`` has ``scope`` and ``terms``. With ``overall``, a further scope over all documents is
-    rolled up from the per-scope counts, without another pass over the texts.
+    ``docs`` has ``scope`` and ``terms``. With ``overall``, a further scope over all documents comes from the
+    same pass over the texts. ``counters`` bounds what a task counts with and hands on, never the result.
     """
-    counts = term_counts(docs)
-    if overall is not None:
-        rolled = counts.groupBy("term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
-        counts = counts.unionByName(rolled.withColumn("scope", F.lit(overall)))
-    counts = materialize(counts, "term-counts")
-    is_document = F.col("term") == _DOCUMENT
-    # How often must a term occur to be among the first N? Known from the number of terms of each total.
-    sizes = counts.where(~is_document).groupBy("scope", "total").agg(F.count(F.lit(1)).alias("_terms"))
-    upto = F.sum("_terms").over(Window.partitionBy("scope").orderBy(F.desc("total")))
-    bounds = sizes.withColumn("_before", upto - F.col("_terms")).where(F.col("_before") < max_features)
-    bounds = materialize(bounds.groupBy("scope").agg(F.min("total").alias("_least")), "term-bounds")
-    enough = counts.join(bounds, "scope").where(is_document | (F.col("total") >= F.col("_least"))).drop("_least")
+    counts = frequent_terms(docs, max_features, overall, counters)
+    is_document = F.col("term") == DOCUMENT
+    bounds = materialize(least_counts(counts, max_features).drop("full"), "term-bounds")
+    enough = counts.join(bounds, "scope").where(is_document | (F.col("total") >= F.col("least"))).drop("least")
     order = [F.desc(is_document), F.desc("total"), F.asc("term")]
     salted = enough.withColumn("salt", F.pmod(F.xxhash64("term"), F.lit(RANK_SALTS)))
     # Very many terms may share the least total. A term among the first N of its scope is among the first N
