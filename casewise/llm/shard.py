@@ -114,8 +114,8 @@ def assign_shards(docs: DataFrame, shards: int, id_column: str = "doc_id") -> Da
     """(id, size, text_crc32, shard, slot) for every row of ``docs``; shards have nearly equal bytes.
 
     A row's size is its text's UTF-8 bytes (null: none) plus 16. Rows with equal texts are a group and
-    go to one shard; a group too large for that, more than a quarter of a shard's share, is cut into
-    pieces of about that size by its rows' ids. Groups enter the bins in falling order of size, each the bin with the
+    go to one shard; only a group that no shard can hold, larger than a shard's share of all bytes, is cut, by a key of
+    its rows, into pieces of about a quarter of a share. Groups enter the bins in falling order of size, each the bin with the
     least room that takes it, and the capacity is the least at which they all fit.
 
     The driver packs a histogram of group sizes, kept to one part in 1024 and so at most 65,536
@@ -132,6 +132,7 @@ def assign_shards(docs: DataFrame, shards: int, id_column: str = "doc_id") -> Da
         (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
         F.coalesce(F.crc32(text), F.lit(0).cast("long")).alias("text_crc32"),
         F.coalesce(digest(F.col("text")), F.lit(b"")).alias("content"),
+        F.monotonically_increasing_id().alias("row"),
     )
     rows = scratch.save(rows, "rows")
     total = rows.agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).first()
@@ -141,10 +142,10 @@ def assign_shards(docs: DataFrame, shards: int, id_column: str = "doc_id") -> Da
         )
     share = max(1, total["bytes"] // shards)
     groups = rows.groupBy("content").agg(F.sum("size").alias("bytes"), F.max("size").alias("most"))
-    # Groups above a quarter of a share: at most four for each shard, whatever the input.
-    large = groups.where((F.col("bytes") * 4 > share) & (F.col("bytes") > F.col("most")))
+    # Groups above a share: fewer than there are shards, whatever the input.
+    large = groups.where((F.col("bytes") > share) & (F.col("bytes") > F.col("most")))
     large = F.broadcast(large.select("content", F.ceil(F.col("bytes") * 4 / share).alias("pieces")))
-    piece = F.coalesce(F.pmod(F.xxhash64("id"), "pieces"), F.lit(0).cast("long"))
+    piece = F.coalesce(F.pmod(F.xxhash64("row"), "pieces"), F.lit(0).cast("long"))  # ids may repeat or be null
     rows = rows.join(large, "content", "left").withColumn("piece", piece).drop("pieces")
     units = rows.groupBy("content", "piece").agg(F.sum("size").alias("bytes"))
     step = F.expr(f"bigint(power(2, greatest(0, floor(log2(bytes)) - {SIZE_BITS})))")
@@ -162,8 +163,8 @@ def assign_shards(docs: DataFrame, shards: int, id_column: str = "doc_id") -> Da
 
     parts = max(1, math.ceil(total["n"] / shards / ROWS_PER_TASK))
     out = rows.join(placed, ["content", "piece"])
-    out = out.withColumn("salt", F.pmod(F.xxhash64("id", "content"), F.lit(parts)))
-    out = _number(out, ["shard"], ["id", "content"], "slot")
+    out = out.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(parts)))
+    out = _number(out, ["shard"], ["id", "content", "row"], "slot")
     return out.select(F.col("id").alias(id_column), "size", "text_crc32", "shard", "slot")
 
 

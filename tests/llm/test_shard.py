@@ -64,6 +64,57 @@ def test_a_hot_group_is_cut(make_docs):
     assert len(mass) == 10 and max(mass.values()) <= 1.2 * min(mass.values())
 
 
+def plain_best_fit(sizes, bins, capacity):
+    """Best-fit-decreasing one group at a time; the loads of the bins, or None."""
+    loads = [0] * bins
+    for size in sorted(sizes, reverse=True):
+        fits = [at for at in range(bins) if loads[at] + size <= capacity]
+        if not fits:
+            return None
+        loads[max(fits, key=lambda at: loads[at])] += size
+    return sorted(loads)
+
+
+def test_best_fit_equals_a_plain_version():
+    draw = random.Random(13)
+    for _ in range(300):
+        sizes = [draw.randrange(1, 30) for _ in range(draw.randrange(1, 40))]
+        bins = draw.randrange(1, 7)
+        capacity = draw.randrange(max(sizes), max(sizes) + sum(sizes) // bins + 5)
+        classes = [(size, sizes.count(size)) for size in set(sizes)]
+        placed = S.best_fit(classes, bins, capacity)
+        loads = None
+        if placed is not None:
+            loads = [0] * bins
+            for size, first, past, to in placed:
+                loads[to] += size * (past - first)
+            assert sum(loads) == sum(sizes)
+        assert (loads and sorted(loads)) == plain_best_fit(sizes, bins, capacity)
+
+
+def test_groups_up_to_a_share_stay_whole(make_docs):
+    # Ten groups of 0.3 to 0.9 of a share and single rows that fill the shards up.
+    texts = [f"group {g} " * 40 for g in range(10) for _ in range(12 + 2 * g)] + [f"t{i} " * 60 for i in range(500)]
+    rows = result(make_docs(texts), 10)
+    share = sum(r["size"] for r in rows) // 10
+    shards, mass, groups = defaultdict(set), defaultdict(int), defaultdict(int)
+    for r in rows:
+        shards[texts[r["doc_id"]]].add(r["shard"])
+        groups[texts[r["doc_id"]]] += r["size"]
+        mass[r["shard"]] += r["size"]
+    assert share / 4 < max(groups.values()) <= share
+    assert all(len(found) == 1 for found in shards.values())
+    assert max(mass.values()) <= 1.05 * min(mass.values())
+
+
+def test_a_hot_text_without_ids_stays_balanced(make_docs):
+    rows = [(None, "hot text " * 20)] * 300 + [(7, "hot too " * 20)] * 300 + [(i, f"t{i} " * 30) for i in range(300)]
+    mass = defaultdict(int)
+    for r in result(make_docs(rows), 10):
+        mass[r["shard"]] += r["size"]
+    assert len(mass) == 10 and max(mass.values()) <= 1.3 * min(mass.values())
+
+
 def test_edge_cases(make_docs):
     assert result(make_docs([]), 4) == []
     rows = result(make_docs([(1, None), (None, None), (2, ""), (2, ""), (3, "z" * 100000)]), 4)
