@@ -29,7 +29,7 @@ from casewise.session import materialize
 DOCUMENT = ""
 
 #: Terms a task holds when it hands on its summary; up to twice as many and one Arrow batch before that.
-COUNTERS = 1 << 18
+COUNTERS = 1 << 19
 
 SUMMARY = "scope string, term string, total bigint, df bigint, lost bigint"
 

@@ -43,7 +43,7 @@ def plain(rows, size, overall):
     return out
 
 
-@pytest.mark.parametrize("counters", [1 << 18, 900, 120, 3])
+@pytest.mark.parametrize("counters", [1 << 19, 900, 120, 3])
 @pytest.mark.parametrize("overall", ["all", None])
 def test_equals_plain_counts(spark, counters, overall):
     rows = corpus(900, 7)
