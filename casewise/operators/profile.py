@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casewise.config import MISSING_LABEL
 from casewise.functions.numbers import round_exact
 from casewise.functions.text import stripped_or_blank, summarize, word_count
-from casewise.sources.records import order_key, record_order
+from casewise.sources.records import ARRIVED, order_key, read_landing, record_order
+from casewise.sources.sketches import LABELS, estimates, landed_sketches, sketch_labels, unite
 
 
 def _measured(records: DataFrame) -> DataFrame:
@@ -58,21 +59,36 @@ def top_distribution(records: DataFrame, column: str, k: int = 8, missing: str |
     return distribution(records, column, missing).limit(k)
 
 
-def overview(records: DataFrame) -> DataFrame:
+def overview(records: DataFrame, approximate: bool = False) -> DataFrame:
     """Rows, columns and distinct labels, as (indicator, value) rows.
 
     The label combinations are counted first: one map-side combined pass over the records, after
-    which the distinct counts run over the few combinations instead of over every record.
+    which the distinct counts run over the few combinations instead of over every record. With
+    ``approximate`` the distinct counts come from sketches of fixed size, for labels of very many values.
     """
-    labels = ["classe_macro", "classe_detalhada", "canal_origem"]
-    combinations = records.groupBy(*labels).agg(F.count(F.lit(1)).alias("records"))
+    if approximate:
+        return _indicators(estimates(sketch_labels(records)), len(records.columns))
+    combinations = records.groupBy(*LABELS).agg(F.count(F.lit(1)).alias("records"))
     totals = combinations.agg(
         F.coalesce(F.sum("records"), F.lit(0)).alias("total_registros"),
-        *[F.count_distinct(name).alias(name) for name in labels],
+        *[F.count_distinct(name).alias(name) for name in LABELS],
     )
+    return _indicators(totals, len(records.columns))
+
+
+def landed_overview(spark: SparkSession, landing: str, source: str | None = None) -> DataFrame:
+    """The approximate overview over all landed batches, or those of one source, from their united sketches."""
+    landed = read_landing(spark, landing)
+    if source is not None:
+        landed = landed.where(F.col("source") == source)
+    columns = [name for name in landed.columns if name not in (ARRIVED, "source", "batch")]
+    return _indicators(estimates(unite(landed_sketches(spark, landing, landed))), len(columns))
+
+
+def _indicators(totals: DataFrame, columns: int) -> DataFrame:
     indicators = {
         "total_registros": F.col("total_registros"),
-        "total_colunas": F.lit(len(records.columns)),
+        "total_colunas": F.lit(columns),
         "macroclasses": F.col("classe_macro"),
         "classes_detalhadas": F.col("classe_detalhada"),
         "canais_origem": F.col("canal_origem"),

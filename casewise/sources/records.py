@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
 from casewise.config import NA_TOKENS, REQUIRED_COLUMNS, CasewiseError
+from casewise.sources.sketches import store_sketch
 
 
 #: When a batch was landed.
@@ -119,10 +120,13 @@ def load_records(spark: SparkSession, path: str | Sequence[str], multiline: bool
     return require_columns(read_csv(spark, path, multiline))
 
 
-def land_batch(records: DataFrame, landing: str, source: str = "upload", batch: str | None = None) -> str:
+def land_batch(
+    records: DataFrame, landing: str, source: str = "upload", batch: str | None = None, sketch: bool = False
+) -> str:
     """Write a validated batch into the landing zone; an existing batch is never overwritten.
 
-    Every row bears the time at which its batch was landed, by which batches are ordered.
+    Every row bears the time at which its batch was landed, by which batches are ordered. With ``sketch`` the
+    batch's label sketches are written beside the landing zone, from the landed rows, once these are there.
     """
     require_columns(records)
     spark = records.sparkSession
@@ -131,6 +135,8 @@ def land_batch(records: DataFrame, landing: str, source: str = "upload", batch:
         batch = f"{now:%Y%m%dT%H%M%S}{now.microsecond // 1000:03d}-{uuid.uuid4().hex[:8]}"
     path = f"{landing.rstrip('/')}/source={source}/batch={batch}"
     records.withColumn(ARRIVED, F.lit(now)).write.mode("errorifexists").parquet(path)
+    if sketch:
+        store_sketch(spark.read.schema(records.schema).parquet(path), landing, source, batch)
     return batch
 
 

@@ -460,6 +460,7 @@ def oracle_sql() -> dict[str, str]:
     out["overview"] = _sql(
         " UNION ALL ".join(f"SELECT '{name}' AS indicador, {value} AS valor FROM records" for name, value in indicators)
     )
+    out["overview_landed"] = out["overview"]
     metrics = (
         ("media_caracteres", rounded("avg(chars)", 2)),
         ("media_palavras", rounded("avg(words)", 2)),

@@ -169,6 +169,19 @@ def _overview(spark, sf):
     return profile.overview(data.records(spark, sf))
 
 
+@query("overview_landed")
+def _overview_landed(spark, sf):
+    """Three batches, one of them without a stored sketch; their labels are few, so the estimates are exact."""
+    landing = scratch_path(spark, "landing")
+    records = data.records(spark, sf)
+    german, english = F.col("classe_macro") == "de", F.col("classe_macro") == "en"
+    source.land_batch(records.where(german), landing, "upload", "1", sketch=True)
+    source.land_batch(records.where(english), landing, "upload", "2")
+    rest = ~F.coalesce(german | english, F.lit(False))
+    source.land_batch(records.where(rest), landing, "upload", "3", sketch=True)
+    return profile.landed_overview(spark, landing)
+
+
 @query("text_metrics")
 def _text_metrics(spark, sf):
     return profile.text_metrics(data.records(spark, sf))
