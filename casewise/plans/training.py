@@ -11,6 +11,7 @@ from casewise.config import CasewiseError, TextOptions, TrainOptions
 from casewise.operators import evaluate
 from casewise.operators.hierarchy import HierarchyModel, train_hierarchy
 from casewise.operators.prepare import modeling_table
+from casewise.operators.similar import HistoryIndex
 from casewise.operators.split import Split, train_test_split
 from casewise.session import materialize
 from casewise.sources.model_store import save_model
@@ -53,8 +54,13 @@ def train_job(
     options: TextOptions | None = None,
     settings: TrainOptions | None = None,
     dataset: dict | None = None,
+    keep_history: bool = False,
 ) -> TrainingResult:
-    """The whole training job; the model is stored when a folder is given."""
+    """The whole training job; the model is stored when a folder is given.
+
+    With ``keep_history`` an index of the same records is stored with the model, for scoring against exactly the
+    history that the model was trained on. ``dataset`` (source, batch) says in the metadata which that was.
+    """
     options, settings = options or TextOptions(), settings or TrainOptions()
     require_columns(records)
     columns = ["id_registro", "classe_macro", "classe_detalhada", options.original_column, options.processed_column]
@@ -93,5 +99,6 @@ def train_job(
         "metrics": {row["level"]: row.asDict() for row in metrics.collect()},
         "steps": options.active_steps(),
     }
-    paths = save_model(model, folder, metadata) if folder else {}
+    history = HistoryIndex.build(records, options) if folder and keep_history else None
+    paths = save_model(model, folder, metadata, history) if folder else {}
     return TrainingResult(model, split, predictions, reports, metadata, paths)
