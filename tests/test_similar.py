@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from casewise.operators import similar, tfidf
 from casewise.session import materialize
@@ -209,3 +210,21 @@ def test_history_is_not_shuffled_for_few_queries(spark, make_records, crowd):
     below = plan[plan.index("MapInPandas"):]
     assert "Exchange hashpartitioning" not in below
     assert index.match(asked, k=0).count() == 0
+
+
+def test_history_is_not_copied_for_many_queries(spark, make_records, crowd, monkeypatch):
+    """More queries than a broadcast carries come in waves; neither side is copied for the other."""
+    history, queries = crowd
+    monkeypatch.setattr(similar, "GRID_QUERY_ROWS", 8)
+    index = similar.HistoryIndex.build(make_records(history))
+    rows = [(at, "macro", m, t) for at, (_, t, m) in enumerate(queries)]
+    asked = spark.createDataFrame(rows, "case_key long, scope string, macro string, processed string")
+    plan = index.match(asked, max_broadcast_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "Generate" not in plan
+
+
+def test_words_are_cut_out_once_a_row(spark):
+    """A filter on the terms does not repeat the tokeniser's work."""
+    docs = tfidf.with_terms(spark.createDataFrame([("um dois",)], "processed string"), "processed")
+    plan = docs.where(F.col("terms").isNotNull())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
