@@ -109,3 +109,23 @@ def test_empty_tables_and_terms_without_value(spark):
     docs = spark.createDataFrame([("a", ["x", None, "x"]), ("a", [None]), ("a", ["y" * 100_000])], SCHEMA)
     got = {(r.term[:1], r.total, r.df, r.n) for r in tfidf.fit_vocabulary(docs, 5).collect()}
     assert got == {("x", 2, 1, 3), ("y", 1, 1, 3)}
+
+
+def test_a_batch_is_counted_in_slices(monkeypatch):
+    """However many terms a batch holds, what is counted at a time is bounded, and no row is lost."""
+    rows = [("a", ["x", "y"] * 5), (None, ["z"]), ("b", None), ("b", [])] * 40
+    batch = pa.RecordBatch.from_pylist([{"scope": s, "terms": t} for s, t in rows], pa.schema([("scope", pa.string()), ("terms", pa.list_(pa.string()))]))
+    monkeypatch.setattr(frequent, "SLICE_TERMS", 30)
+    parts = list(frequent._slices(batch))
+    assert [row for part in parts for row in part.to_pylist()] == batch.to_pylist()
+    assert max(sum(len(row["terms"] or []) for row in part.to_pylist()) for part in parts) <= 30 + 10
+    whole, cut = frequent.Summary(1000, "all"), frequent.Summary(1000, "all")
+    kept = batch.filter(pa.array([t is not None for _, t in rows]))
+    whole.add(kept.column("scope"), kept.column("terms"))
+    for part in frequent._slices(kept):
+        cut.add(part.column("scope"), part.column("terms"))
+
+    def counted(summary):
+        return sorted((tuple(row.values()) for part in summary.rows() for row in part.to_pylist()), key=repr)
+
+    assert counted(whole) == counted(cut)
