@@ -163,6 +163,26 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int) -> tupl
     return best[1], best[2], best[3]
 
 
+def can_match(template: np.ndarray, text: np.ndarray, start: int, band: int, need: int) -> bool:
+    """Whether an alignment within the band may match ``need`` words.
+
+    Every matched pair has a template word and a text word of its own, so no alignment matches more words than either
+    side has with an equal word in the band.
+    """
+    low = max(0, start - band)
+    part = text[low : max(low, start + len(template) + band)]
+    places = np.arange(len(template))[:, None] + np.arange(start - band, start + band + 1) - low
+    inside = (places >= 0) & (places < len(part))
+    if not inside.any():
+        return False
+    same = inside & (part[np.clip(places, 0, len(part) - 1)] == template[:, None])
+    if np.count_nonzero(same.any(axis=1)) < need:
+        return False
+    hit = np.zeros(len(part), bool)
+    hit[places[same]] = True
+    return np.count_nonzero(hit) >= need
+
+
 def _scan(index: TemplateIndex):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,7 +197,10 @@ def _scan(index: TemplateIndex):
                         last, whole = (d, t), s - 1
                     band = band_of(len(index.words[t]))
                     first, past = int(words.first[d]), int(words.first[d + 1])
-                    matched, a, b = align(index.words[t], words.hash[first:past], s + band - first, band)
+                    text, start = words.hash[first:past], s + band - first
+                    if not can_match(index.words[t], text, start, band, index.needs[t]):
+                        continue
+                    matched, a, b = align(index.words[t], text, start, band)
                     if matched >= index.needs[t]:
                         found.setdefault((d, t), set()).add((matched, a, b))
                     if matched == b - a == len(index.words[t]):
@@ -206,8 +229,8 @@ def scan_licenses(
 
     ``templates`` are (name, text), by default :data:`TEMPLATES`; they travel with the code, so their total length is
     that of a configuration. Every word of a text is looked up in the templates; where as many words as the
-    coverage asks for stand within the band of a diagonal, a banded alignment counts the matched words in
-    order and finds the span, in code points, end exclusive. Copies of one template that overlap count once, the best
+    coverage asks for stand within the band of a diagonal, and as many template words and text words have a partner there,
+    a banded alignment counts the matched words in order and finds the span, in code points, end exclusive. Copies of one template that overlap count once, the best
     one; different templates are reported each.
 
     A template without words is never found. Null and

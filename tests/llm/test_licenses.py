@@ -4,6 +4,7 @@ from casewise.llm import licenses as L
 from casewise.llm.common import Words
 
 import numpy as np
+import pyarrow as pa
 
 MIT = L.TEMPLATES[1][1]
 
@@ -92,3 +93,27 @@ def test_single_changes_at_every_place(make_docs):
     for doc, (t, words) in enumerate(owner):
         plain = plain_matches([w.lower() for w in words], texts[doc].lower().split())
         assert got.get((doc, t), 0) == (plain if plain >= L.COVERAGE * len(words) else 0), texts[doc]
+
+
+def test_no_alignment_without_enough_partners(make_docs, monkeypatch):
+    common = "the software and to of the without or " * 40
+    index, raw = L.TemplateIndex([("MIT", MIT)]), np.frombuffer(common.encode(), np.uint8)
+    words = Words(raw, np.array([0, len(raw)]))
+    places = index.candidates(words)
+    need, band = index.needs[0], L.band_of(len(index.words[0]))
+    assert len(places) > 100
+    assert not any(L.can_match(index.words[0], words.hash, s + band, band, need) for _, _, s in places)
+
+    tried = []
+    monkeypatch.setattr(L, "align", lambda *given: tried.append(given) or (0, 0, 0))
+    batch = pa.record_batch([pa.array([1]), pa.array([common])], ["id", "text"])
+    assert list(L._scan(index)(iter([batch]))) == [] and tried == []
+
+
+def test_bound_on_matches_never_drops_one():
+    draw = random.Random(8)
+    for _ in range(400):
+        template, text = (np.array([draw.randrange(6) for _ in range(draw.randrange(1, n))]) for n in (12, 20))
+        start, band = draw.randrange(-6, 22), draw.randrange(1, 4)
+        matched = L.align(template, text, start, band)[0]
+        assert L.can_match(template, text, start, band, matched) or not matched
