@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from casewise.llm.common import Scratch, Words, bitmap_of, digest, in_bitmap, list_array, mix, table, text_slices
+from casewise.llm.common import Scratch, Words, bitmap_of, digest, in_bitmap, list_array, may_be_in, mix, table, text_slices
 from casewise.llm.components import connected_components
 
 SHINGLE_WORDS = 5
@@ -360,6 +360,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     judged = judged.agg(F.first("kept").alias("kept"), F.count("*").alias("n"))
     judged = scratch.save(judged.where("NOT kept OR n > 1").select(F.col("doc_id").alias("id"), "content", "kept"), "judged")
     rows = docs.select(F.struct(F.col("*")).alias("row"), F.col("doc_id").alias("id"), digest(F.col("text")).alias("content"))
+    # Texts that are not judged are most of all; a bitmap of 8 MB keeps them from being shuffled.
+    key = F.xxhash64("id", "content")
+    asked = may_be_in(bitmap_of(judged.select(key.alias("key")), "key"), key, docs.sparkSession)
+    rows = rows.withColumn("asked", asked)
+    others, rows = rows.where("NOT asked"), rows.where("asked")
 
     def among(some: DataFrame, how: str, of: DataFrame) -> DataFrame:
         return of.join(some, of["id"].eqNullSafe(some["id"]) & (of["content"] == some["content"]), how)
@@ -367,9 +372,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     staying = among(judged.where("NOT kept"), "left_anti", rows)
     repeated = judged.where("kept")
     if repeated.isEmpty():
-        return staying.select("row.*")
+        return others.union(staying).select("row.*")
     once = among(repeated, "left_semi", staying).dropDuplicates(["id", "content"])
-    return among(repeated, "left_anti", staying).union(once).select("row.*")
+    return others.union(among(repeated, "left_anti", staying)).union(once).select("row.*")
 
 
 def op1_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

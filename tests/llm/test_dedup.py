@@ -118,3 +118,21 @@ def test_signature_does_not_depend_on_neighbours():
     signature = D.bag_min_hash(*bag(texts, 5), 4, 120)
     assert (signature[0] == signature[2]).all() and np.isfinite(signature).all()
     assert (D.bag_min_hash(*bag(texts[:1], 5), 1, 120)[0] == signature[0]).all()
+
+
+def test_texts_without_copies_are_not_shuffled_with_their_judgement(make_docs, spark):
+    """Also where the judgement is too large for a broadcast."""
+    long = [" ".join(f"w{at}x{i}" for i in range(40)) for at in range(30)]
+    rows = [(at, text) for at, text in enumerate(long)] + [(100 + at, text) for at, text in enumerate(long[:5])]
+    rows += [(7, long[7]), (None, long[8]), (None, None), (200, None), (200, None), (201, "")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = D.keep_one(make_docs(rows, clashes=True))
+        first = [line for line in kept._jdf.queryExecution().executedPlan().toString().split("\n") if line.lstrip().startswith(":")]
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert got == sorted([*enumerate(long), (None, None), (200, None), (200, None), (201, "")], key=repr)
+    branch = first[: next((at for at, line in enumerate(first) if at and line.strip().startswith(":- ") and line.index(":") == first[0].index(":")), None)]
+    assert branch and "has_bit" in "".join(branch) and not any(word in "".join(branch) for word in ("Exchange", "Join"))
