@@ -129,3 +129,36 @@ def test_a_batch_is_counted_in_slices(monkeypatch):
         return sorted((tuple(row.values()) for part in summary.rows() for row in part.to_pylist()), key=repr)
 
     assert counted(whole) == counted(cut)
+
+
+@pytest.mark.parametrize("carried", [1 << 20, 0])
+def test_candidates_are_counted_again_without_a_shuffle_of_all_terms(spark, monkeypatch, carried):
+    """Both ways to count candidates again; only the join may count terms that are none."""
+    rows = [row for row in corpus(900, 7) if row[0] != "flat"]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+    all_terms, looked_up = [], []
+    joined, carry = frequent.term_counts, frequent.recounted
+    monkeypatch.setattr(frequent, "MAX_CARRIED", carried)
+    monkeypatch.setattr(frequent, "LOOKUP_SLICE", 100)
+    monkeypatch.setattr(frequent, "term_counts", lambda *given: all_terms.append(1) or joined(*given))
+    monkeypatch.setattr(frequent, "recounted", lambda *given: looked_up.append(1) or carry(*given))
+    found = tfidf.fit_vocabulary(docs, 5, "all", 120).select("scope", "term", "place", "total", "df", "n")
+    assert {tuple(row) for row in found.collect()} == plain(rows, 5, "all")
+    assert bool(all_terms) == (not carried) and bool(looked_up) == bool(carried)
+
+
+def test_vectors_by_lookup_are_those_of_the_join(spark, monkeypatch):
+    """Rows of several scopes in one batch, cut into slices; nulls and unknown scopes have empty vectors."""
+    monkeypatch.setattr(tfidf, "LOOKUP_SLICE", 60)
+    rows = [(str(at), *row) for at, row in enumerate(corpus(300, 5))] + [("n", "hot", ["w1", None, "w0", "w1"])]
+    docs = spark.createDataFrame(rows, "id string, " + SCHEMA).repartition(2)
+    fitted = tfidf.fit_vocabulary(docs, 50, "all").cache()
+    found = {row["id"]: row for row in tfidf.TermSpace(fitted).vectorize(docs).collect()}
+    assert len(found) == len(rows) and found["0"]["idx"] == [] and found["3"]["weight"] == []
+    want = {}
+    known = docs.where("scope is not null and terms is not null")
+    for row in tfidf.weights_long(known, fitted).collect():
+        want.setdefault(row["id"], {})[row["place"] - 1] = row["weight"]
+    for key, row in found.items():
+        assert row["idx"] == sorted(want.get(key, {}))
+        assert row["weight"] == pytest.approx([want[key][at] for at in row["idx"]])
